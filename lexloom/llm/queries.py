@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexloom.llm import tokenise
+from lexloom.llm import boilerplate, tokenise
 from lexloom.session import table
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chunks`` with the metadata fields as columns."""
+    m = F.col("metadata")
+    return table(spark, sf_dir, "chunks").select("id", "text", "lang", m["source"].alias("source"), m["page"].alias("page"), m["document_id"].alias("document_id"), m["jurisdiction"].alias("jurisdiction"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a line repeated within its source."""
+    return boilerplate.find_blocks(_records(spark, sf_dir))[1].select("id", "line_no")
+
+
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record's text without the lines repeated within its source."""
+    rows = _records(spark, sf_dir)
+    return boilerplate.remove_blocks(rows, boilerplate.find_blocks(rows)[0])
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by ``byte_bpe_50k``."""
     return tokenise.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids}
+QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p6_ids": p6_ids}

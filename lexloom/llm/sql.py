@@ -2,4 +2,30 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_REPEATED = r"""
+records as (
+  select distinct on (id) id, metadata.source as source, metadata.document_id as doc, text
+  from chunks where metadata.source is not null
+),
+docs as (
+  select metadata.source as source, count(distinct metadata.document_id) as n_docs
+  from chunks where metadata.source is not null group by 1
+),
+split_up as (
+  select id, source, doc, regexp_split_to_array(text, '\r\n|\r|\n') as lines from records where text is not null
+),
+lines as (
+  select id, source, doc, no - 1 as line_no, lines[no] as line,
+         lower(regexp_replace(lines[no], '[^\p{L}]', '', 'g')) as key
+  from split_up, unnest(range(1, len(lines) + 1)) as t(no)
+),
+repeated as (
+  select l.source, l.key from lines l join docs d on l.source = d.source
+  where length(l.key) >= 3
+  group by l.source, l.key, d.n_docs
+  having count(distinct l.doc) >= 4 and count(distinct l.doc) * 20 >= d.n_docs
+)"""
+
+SQL: dict[str, str] = {
+    "p3_found": f"with {_REPEATED} select l.id, cast(l.line_no as integer) as line_no from lines l join repeated r on l.source = r.source and l.key = r.key",
+}
