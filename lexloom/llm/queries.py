@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import boilerplate, tokenise
+from lexloom.llm import boilerplate, near_dup, tokenise
 from lexloom.session import table
 
 
@@ -15,6 +15,20 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunks").select("id", "text", "lang", m["source"].alias("source"), m["page"].alias("page"), m["document_id"].alias("document_id"), m["jurisdiction"].alias("jurisdiction"))
 
 
+def _clauses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return near_dup.similar_classes(_records(spark, sf_dir), threshold=0.5, width=3, min_words=40)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records at least half of whose word triples are common to both."""
+    return near_dup.similar_pairs(*_clauses(spark, sf_dir))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group and number of similar texts of every record of 40 words or more."""
+    return near_dup.groups(*_clauses(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of a line repeated within its source."""
     return boilerplate.find_blocks(_records(spark, sf_dir))[1].select("id", "line_no")
@@ -31,4 +45,4 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p6_ids": p6_ids}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_clean": p3_clean, "p6_ids": p6_ids}
