@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import boilerplate, near_dup, tokenise
+from lexloom.llm import boilerplate, chunk_split, near_dup, tokenise
 from lexloom.session import table
 
 
@@ -15,6 +15,17 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunks").select("id", "text", "lang", m["source"].alias("source"), m["page"].alias("page"), m["document_id"].alias("document_id"), m["jurisdiction"].alias("jurisdiction"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records longer than a piece, and whether a piece had to be cut out of an unbroken stretch."""
+    pieces = chunk_split.split_records(_records(spark, sf_dir), only_oversized=True)
+    return pieces.groupBy("id").agg(F.when(F.max((F.col("cut") == "forced").cast("int")) == 1, "forced").otherwise("natural").alias("cut"))
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every record, with its place and page."""
+    return chunk_split.split_records(_records(spark, sf_dir)).dropDuplicates(["id", "piece_no"])
+
+
 def _clauses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return near_dup.similar_classes(_records(spark, sf_dir), threshold=0.5, width=3, min_words=40)
 
@@ -45,4 +56,4 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_clean": p3_clean, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_clean": p3_clean, "p6_ids": p6_ids}

@@ -27,5 +27,16 @@ repeated as (
 )"""
 
 SQL: dict[str, str] = {
+    "p1_found": r"""
+        with normal as (
+          select distinct on (id) id,
+                 regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '^[\s\x0b\x1c-\x1f\x85\p{Z}]+|[\s\x0b\x1c-\x1f\x85\p{Z}]+$', '', 'g') as body
+          from chunks where length(text) > 900
+        ),
+        pieces as (
+          select id, unnest(regexp_split_to_array(body, '[\s\x0b\x1c-\x1f\x85\p{Z}。！？；，、]')) as stretch
+          from normal where length(body) > 900
+        )
+        select id, case when max(length(stretch)) > 900 then 'forced' else 'natural' end as cut from pieces group by id""",
     "p3_found": f"with {_REPEATED} select l.id, cast(l.line_no as integer) as line_no from lines l join repeated r on l.source = r.source and l.key = r.key",
 }
