@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import boilerplate, chunk_split, near_dup, tokenise
+from lexloom.llm import boilerplate, chunk_split, near_dup, tokenise, vector_knn
 from lexloom.session import table
 
 
@@ -51,9 +51,21 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.remove_blocks(rows, boilerplate.find_blocks(rows)[0])
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs at cosine 0.90 or more, one among the 5 most similar others of the other."""
+    near = vector_knn.similar_vectors(table(spark, sf_dir, "chunk_vectors"), k=5, least=0.9).where("cosine >= 0.9")
+    return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def p5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar others of every usable vector, with their cosine."""
+    near = vector_knn.similar_vectors(table(spark, sf_dir, "chunk_vectors"), k=5)
+    return near.select("id", "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by ``byte_bpe_50k``."""
     return tokenise.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_clean": p3_clean, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_clean": p3_clean, "p5_found": p5_found, "p5_knn": p5_knn, "p6_ids": p6_ids}
