@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import boilerplate, chunk_split, near_dup, tokenise, vector_knn
+from lexloom.llm import boilerplate, chunk_split, lang_id, near_dup, tokenise, vector_knn
 from lexloom.session import table
 
 
@@ -51,6 +51,21 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.remove_blocks(rows, boilerplate.find_blocks(rows)[0])
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of every record whose label isn't right."""
+    rows = _records(spark, sf_dir)
+    held = lang_id.detect(rows, lang_id.fit(rows))
+    wrong = held.where("size(langs) > 1 or (size(langs) = 1 and not (label <=> langs[0]))")
+    return wrong.select("id", F.explode("langs").alias("lang")).distinct()
+
+
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of lines of one language in every record, with a confidence."""
+    rows = _records(spark, sf_dir)
+    held = lang_id.detect(rows, lang_id.fit(rows)).select("id", F.posexplode("segments").alias("segment", "s"))
+    return held.select("id", "segment", "s.first_line", "s.last_line", "s.lang", F.round("s.confidence", 2).alias("confidence")).dropDuplicates(["id", "segment"])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs at cosine 0.90 or more, one among the 5 most similar others of the other."""
     near = vector_knn.similar_vectors(table(spark, sf_dir, "chunk_vectors"), k=5, least=0.9).where("cosine >= 0.9")
@@ -68,4 +83,4 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_clean": p3_clean, "p5_found": p5_found, "p5_knn": p5_knn, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_segments": p4_segments, "p5_found": p5_found, "p5_knn": p5_knn, "p6_ids": p6_ids}
