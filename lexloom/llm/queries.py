@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import boilerplate, chunk_split, lang_id, near_dup, quality, tokenise, vector_knn
+from lexloom.llm import boilerplate, chunk_split, lang_id, mixing, near_dup, quality, tokenise, vector_knn
 from lexloom.session import table
 
 
@@ -83,6 +83,16 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of a document in the mixture of sources."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0].withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted and actual share of every source of the mixture."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents more than half of which is a list, a table or junk."""
     return quality.text_statistics(table(spark, sf_dir, "documents")).where("kind is not null").select("doc_id", "kind")
@@ -93,4 +103,4 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_statistics(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_segments": p4_segments, "p5_found": p5_found, "p5_knn": p5_knn, "p6_ids": p6_ids, "p8_found": p8_found, "p8_statistics": p8_statistics}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_segments": p4_segments, "p5_found": p5_found, "p5_knn": p5_knn, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics}
