@@ -38,5 +38,19 @@ SQL: dict[str, str] = {
           from normal where length(body) > 900
         )
         select id, case when max(length(stretch)) > 900 then 'forced' else 'natural' end as cut from pieces group by id""",
+    "p2_found": r"""
+        with words as (select distinct on (id) id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from chunks where text is not null),
+        sets as (select id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as s from words where len(w) >= 40),
+        each as (select id, len(s) as n, unnest(s) as t from sets),
+        common as (select a.id as id_a, b.id as id_b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from each a join each b on a.t = b.t and a.id < b.id group by 1, 2)
+        select id_a, id_b from common where 2 * c >= na + nb - c""",
+    "p5_found": r"""
+        with sound as (
+          select distinct on (id) id, embedding::double[] as v from chunk_vectors
+          where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        unit as (select id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as u from sound),
+        near as (select a.id, b.id as other, list_dot_product(a.u, b.u) as cosine, row_number() over (partition by a.id order by round(list_dot_product(a.u, b.u), 6) desc, b.id) as place from unit a join unit b on a.id <> b.id)
+        select distinct least(id, other) as id_a, greatest(id, other) as id_b from near where place <= 5 and cosine >= 0.9""",
     "p3_found": f"with {_REPEATED} select l.id, cast(l.line_no as integer) as line_no from lines l join repeated r on l.source = r.source and l.key = r.key",
 }
