@@ -15,7 +15,7 @@ PAGES = "path string, page int, text string"
 
 def text_pages(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """``(path, page, text)``: every file is page 0; bad bytes become U+FFFD, CR LF and CR become LF."""
-    raw = spark.read.option("wholetext", True).text(paths)
+    raw = spark.read.text(paths, wholetext=True)
     return raw.select(F.input_file_name().alias("path"), F.lit(0).alias("page"), unified_newlines(F.col("value")).alias("text"))
 
 
