@@ -17,7 +17,7 @@ handled by one task.
 
 Keys are compared by their 64-bit hash together with the source.
 
-Edge cases: rows that repeat an id are one record; a null source is no source,
+Edge cases: rows with a null id are left out; rows that repeat an id are one record; a null source is no source,
 its records have no repeated lines; records with a null document count towards
 nothing but their lines are reported; null and empty texts have no lines; an
 empty table gives empty results; other columns are ignored.
@@ -40,7 +40,7 @@ def line_keys(text: Column, min_letters: int) -> Column:
 
 def occurrences(df: DataFrame, id_col: str, text_col: str, source_col: str, doc_col: str, min_letters: int) -> DataFrame:
     """``(id, source, doc, seq, line_no, node)``: one row per line with a key; repeated records stay repeated."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(doc_col).alias("doc"), F.col(doc_col).isNotNull().alias("has_doc"), F.col(text_col).alias("text")).where("source is not null and text is not null")
+    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(doc_col).alias("doc"), F.col(doc_col).isNotNull().alias("has_doc"), F.col(text_col).alias("text")).where("id is not null and source is not null and text is not null")
     return rows.select("id", "source", F.when(F.col("has_doc"), F.col("doc")).alias("doc"), F.posexplode(line_keys(F.col("text"), min_letters)).alias("seq", "line")).select(
         "id", "source", "doc", "seq", F.col("line.line_no").alias("line_no"), F.xxhash64("line.key").alias("node")
     )

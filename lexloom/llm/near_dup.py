@@ -15,7 +15,7 @@ on the texts, which are read again for the candidates only.
 Nodes are read as a sorted stream. A node of more than ``NODE_ROWS`` rows is passed on instead and its
 pairs are spread over tasks in blocks, so no task holds an unbounded node.
 
-Edge cases: rows that repeat an id are one record; null, empty and short texts have no partners;
+Edge cases: rows with a null id are left out; rows that repeat an id are one record; null, empty and short texts have no partners;
 records with equal word sequences are copies of similarity 1; an empty table gives empty results;
 other columns are ignored.
 """
@@ -171,8 +171,8 @@ def _batch(a, b, node=None, sketch=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(lo), none if node is not None else pa.array(hi), pa.array(node) if node is not None else none, pa.array(sketch) if sketch is not None else none], names=["a", "b", "node", "sketch"])
 
 
-def _walk_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs ``(a, b)`` of a stream sorted by node; rows of nodes too large come out as they are."""
+def _walk_nodes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs ``(a, b)`` of a stream sorted by node; rows of nodes over ``most`` rows come out as they are."""
     held_n = held_c = held_s = None
     large = None
     for batch in batches:
@@ -186,20 +186,20 @@ def _walk_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero(node[1:] != node[:-1]) + 1
         edges = np.concatenate(([0], cuts, [len(node)]))
         last = edges[-2]
-        yield from _whole_nodes(node[:last], cls[:last], sketch[:last], edges[:-1], large)
+        yield from _whole_nodes(node[:last], cls[:last], sketch[:last], edges[:-1], large, most)
         if last:
             large = None
         rest = len(node) - last
-        if rest > NODE_ROWS or (large is not None and node[-1] == large):
+        if rest > most or (large is not None and node[-1] == large):
             large = node[-1]
             yield _batch(cls[last:], None, node[last:], sketch[last:].view(np.int64))
         else:
             held_n, held_c, held_s = node[last:], cls[last:], sketch[last:]
     if held_n is not None:
-        yield from _whole_nodes(held_n, held_c, held_s, np.array([0, len(held_n)]), large)
+        yield from _whole_nodes(held_n, held_c, held_s, np.array([0, len(held_n)]), large, most)
 
 
-def _whole_nodes(node, cls, sketch, edges, large) -> Iterator[pa.RecordBatch]:
+def _whole_nodes(node, cls, sketch, edges, large, most) -> Iterator[pa.RecordBatch]:
     """Pairs of complete nodes. Nodes of two rows, by far the most, go through one vectorised step."""
     if len(edges) < 2:
         return
@@ -212,7 +212,7 @@ def _whole_nodes(node, cls, sketch, edges, large) -> Iterator[pa.RecordBatch]:
     got_a, got_b = [], []
     for k in np.flatnonzero((size > 2) | (node[edges[:-1]] == large if large is not None else False)).tolist():
         s, e = edges[k], edges[k + 1]
-        if e - s > NODE_ROWS or (large is not None and node[s] == large):
+        if e - s > most or (large is not None and node[s] == large):
             yield _batch(cls[s:e], None, node[s:e], sketch[s:e].view(np.int64))
             continue
         a, b = _node_pairs(cls[s:e], sketch[s:e])
@@ -255,15 +255,15 @@ def _block_pairs(left, right, side, cls, sketch) -> Iterator[pa.RecordBatch]:
             yield _batch(np.full(int(ok.sum()), c), rc[ok])
 
 
-def candidates(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
+def candidates(classes: DataFrame, threshold: float, recall: float, node_rows: int = NODE_ROWS) -> DataFrame:
     """Distinct candidate pairs ``(a, b)`` of classes, ``a < b``."""
     depth = depth_for(threshold, recall)
     node = F.shiftright(F.col("path"), 8 * (COORDS - depth)).cast("bigint") + F.col("tree").cast("bigint") * (1 << 24)
     rows = classes.select("class", "sketch", F.posexplode("paths").alias("tree", "path")).select(node.alias("node"), "class", "sketch")
     schema = "a bigint, b bigint, node bigint, sketch bigint"
-    walked = staged(rows.repartition("node").sortWithinPartitions("node").mapInArrow(_walk_nodes, schema), "nodes")
+    walked = staged(rows.repartition("node").sortWithinPartitions("node").mapInArrow(lambda batches: _walk_nodes(batches, node_rows), schema), "nodes")
     large = walked.where("node is not null").select("node", F.col("a").alias("class"), "sketch")
-    blocks = large.groupBy("node").count().select("node", F.ceil(F.col("count") / NODE_ROWS).cast("int").alias("n_blocks"))
+    blocks = large.groupBy("node").count().select("node", F.ceil(F.col("count") / node_rows).cast("int").alias("n_blocks"))
     placed = large.join(blocks, "node").withColumn("block", F.pmod(F.xxhash64("class"), F.col("n_blocks")).cast("int"))
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     sided = other.select("node", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), (F.col("block") > F.col("other")).cast("int").alias("side"), "class", "sketch")
@@ -289,15 +289,15 @@ def _verify(threshold: float, width: int):
     return run
 
 
-def similar_classes(df: DataFrame, id_col: str = "id", text_col: str = "text", *, threshold: float = 0.8, width: int = 5, min_words: int = 5, recall: float = 0.98) -> tuple[DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, id_col: str = "id", text_col: str = "text", *, threshold: float = 0.8, width: int = 5, min_words: int = 5, recall: float = 0.98, node_rows: int = NODE_ROWS) -> tuple[DataFrame, DataFrame]:
     """``(members, pairs)``: ``(id, class)`` of every record long enough, and the verified pairs
     ``(a, b, similarity)`` of classes with ``a < b``."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     signed = staged(signatures(rows, "id", "text", width, min_words), "signatures")
     members = signed.select("id", "class").distinct()
     # Rows of one class have equal signatures, so any row stands for it.
     classes = signed.groupBy("class").agg(F.min("id").alias("id"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
-    found = candidates(classes.select("class", "paths", "sketch"), threshold, recall)
+    found = candidates(classes.select("class", "paths", "sketch"), threshold, recall, node_rows)
     # b-bit coordinates: agreement is at least the similarity; three standard deviations below it
     coords = TREES * COORDS
     least = math.floor(coords * threshold - 3 * math.sqrt(coords * threshold * (1 - threshold)))

@@ -50,7 +50,8 @@ SQL: dict[str, str] = {
           where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
         ),
         unit as (select id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as u from sound),
-        near as (select a.id, b.id as other, list_dot_product(a.u, b.u) as cosine, row_number() over (partition by a.id order by round(list_dot_product(a.u, b.u), 6) desc, b.id) as place from unit a join unit b on a.id <> b.id)
+        pairs as (select a.id, b.id as other, list_dot_product(a.u, b.u) as cosine from unit a join unit b on a.id <> b.id),
+        near as (select *, row_number() over (partition by id order by round(cosine, 6) desc, other) as place from pairs)
         select distinct least(id, other) as id_a, greatest(id, other) as id_b from near where place <= 5 and cosine >= 0.9""",
     "p3_found": f"with {_REPEATED} select l.id, cast(l.line_no as integer) as line_no from lines l join repeated r on l.source = r.source and l.key = r.key",
 }

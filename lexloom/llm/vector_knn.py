@@ -217,25 +217,30 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: list[str], most: int) -> Ite
         yield flush(), large
 
 
+SOUND = "id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = float('infinity')) and exists(v, x -> x <> 0)"
+
+
+def _fit(rows: DataFrame, dim: int | None, seed: int):
+    """Usable rows ``(id, v, key)``, their length, and what is fitted on the bounded sample."""
+    n_rows = max(1, rows.count())
+    part = min(1.0, 1.2 * SAMPLE / n_rows)
+    drawn = rows.where(SOUND).where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) <= int(part * (1 << 20))).select("v").limit(SAMPLE).toArrow().column("v").to_pylist()
+    dim = dim or max(map(len, drawn), default=1)
+    rng = np.random.default_rng(seed)
+    sample = _unit(np.array([v for v in drawn if len(v) == dim] or [[1.0] * dim], np.float32).reshape(-1, dim))
+    cells, quant = Cells.fit(sample, n_rows, rng), AdditiveQuantiser.fit(sample, rng)
+    return rows.where(F.size("v") == dim).where(SOUND).withColumn("key", F.xxhash64("v")), dim, cells, quant
+
+
 def similar_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", *, k: int = 5, least: float | None = None, dim: int | None = None, spill: int = SPILL, seed: int = 7) -> DataFrame:
     """``(id, neighbour, cosine, rank)``: up to ``k`` most similar others of every usable row.
 
     ``least`` leaves out neighbours of a smaller cosine. ``dim`` is the length of a usable vector, by
     default the longest in the sample.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
-    sound = "id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = float('infinity')) and exists(v, x -> x <> 0)"
-    n_rows = max(1, df.count())
-    part = min(1.0, 1.2 * SAMPLE / n_rows)
-    drawn = rows.where(sound).where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) <= int(part * (1 << 20))).select("v").limit(SAMPLE).toArrow().column("v").to_pylist()
-    dim = dim or max(map(len, drawn), default=1)
-    rng = np.random.default_rng(seed)
-    sample = np.array([v for v in drawn if len(v) == dim] or [[1.0] * dim], np.float32).reshape(-1, dim)
-    sample = _unit(sample)
-    cells, quant = Cells.fit(sample, n_rows, rng), AdditiveQuantiser.fit(sample, rng)
-    model = spark.sparkContext.broadcast((cells, quant))  # a bounded size: cells and codebooks only
-    usable = rows.where(F.size("v") == dim).where(sound).withColumn("key", F.xxhash64("v"))
+    usable, dim, cells, quant = _fit(rows, dim, seed)
+    model = df.sparkSession.sparkContext.broadcast((cells, quant))  # a bounded size: cells and codebooks only
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, quant = model.value
@@ -294,3 +299,73 @@ def similar_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedd
     held = own.where(F.size("own") > 1).join(others, "key", "full_outer").select("key", F.concat(F.coalesce("own", F.array().cast(own.schema["own"].dataType)), F.coalesce("others", F.array().cast(own.schema["own"].dataType))).alias("all"))
     best = members.join(held, "key").select("id", F.slice(F.sort_array(F.filter("all", lambda x: x["id"] != F.col("id"))), 1, k).alias("best"))
     return best.select("id", F.posexplode("best").alias("pos", "x")).select("id", F.col("x.id").alias("neighbour"), (-F.col("x.minus")).alias("cosine"), (F.col("pos") + 1).alias("rank"))
+
+
+QUERY_BLOCK = 4096
+
+
+def search_vectors(df: DataFrame, queries: DataFrame, id_col: str = "id", vector_col: str = "embedding", *, k: int = 5, dim: int | None = None, seed: int = 7) -> DataFrame:
+    """``(query_id, neighbour, cosine, rank)``: the ``k`` most similar rows of every query vector.
+
+    ``queries(query_id, embedding)`` is a stated set, compared with all rows in blocks of ``QUERY_BLOCK``
+    queries: every row is scored by its code and stored norm, each batch's best ``SHORTLIST`` of a query are
+    ranked again exactly, and a task keeps the best ``k`` of what it has seen. A row with the query's own id
+    never counts. Unusable rows and queries are left out; ties go to the smaller id.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    usable, dim, _, quant = _fit(rows, dim, seed)
+    indexed = usable.select("id", "v").dropDuplicates(["id"])
+    asked = queries.select(F.col("query_id").alias("id"), F.col("embedding").cast("array<float>").alias("v")).where(F.size("v") == dim).where(SOUND).dropDuplicates(["id"])
+    asked = staged(asked, "asked")
+    spark, id_type = df.sparkSession, rows.schema["id"].dataType.simpleString()
+    q_type = asked.schema["id"].dataType.simpleString()
+    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    parts = []
+    for b in range(n_blocks):
+        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).toArrow()
+        if not own.num_rows:
+            continue
+        vec = _unit(own.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim))
+        block = spark.sparkContext.broadcast((quant, own.column("id").to_pylist(), vec))
+
+        def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            quant, ids, q = block.value
+            best_sim, best_id = np.full((len(ids), 0), -9.0, np.float32), np.empty((len(ids), 0), object)
+            lut = q @ quant.flat.T
+            own = np.array(ids, object)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 4000):
+                    batch = whole.slice(at, 4000)
+                    x = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+                    key = np.array(batch.column(0).to_pylist(), object)
+                    code = quant.encode(x)
+                    norm = np.maximum(np.linalg.norm(quant.decode(code), axis=1), 1e-6)
+                    spot = code.astype(np.int64) + np.arange(BOOKS) * WORDS
+                    short = min(max(SHORTLIST, 4 * k) + 1, len(x))
+                    sims, names = [], []
+                    for s in range(0, len(ids), 200):
+                        score = lut[s : s + 200][:, spot[:, 0]]
+                        for m in range(1, BOOKS):
+                            score += lut[s : s + 200][:, spot[:, m]]
+                        score /= norm
+                        top = np.argpartition(-score, short - 1, axis=1)[:, :short]
+                        exact = np.einsum("qd,qsd->qs", q[s : s + 200], x[top])
+                        exact[key[top] == own[s : s + 200, None]] = -9
+                        sims.append(exact)
+                        names.append(key[top])
+                    sim, name = np.concatenate((best_sim, np.concatenate(sims)), 1), np.concatenate((best_id, np.concatenate(names)), 1)
+                    rows = np.arange(len(ids))[:, None]
+                    keep = np.argsort(-sim, 1, kind="stable")[:, : 2 * k]
+                    best_sim, best_id = sim[rows, keep], name[rows, keep]
+            ok = best_sim > -2
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, ok.sum(1)).tolist(), pa.array(ids).type), pa.array(best_id[ok].tolist(), whole_type), pa.array(best_sim[ok].astype(np.float64))], names=["query_id", "neighbour", "cosine"])
+
+        whole_type = pa.string() if id_type == "string" else pa.int64() if id_type == "bigint" else pa.int32()
+        parts.append(indexed.select("id", "v").mapInArrow(scan, f"query_id {q_type}, neighbour {id_type}, cosine double"))
+    if not parts:
+        parts = [asked.limit(0).select(F.col("id").alias("query_id"), F.lit(None).cast(id_type).alias("neighbour"), F.lit(0.0).alias("cosine"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    order = Window.partitionBy("query_id").orderBy(F.round("cosine", 6).desc(), "neighbour")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
