@@ -130,7 +130,7 @@ def split(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int
     def start_for(i: int, end: int) -> int:
         """Where the piece after cut ``i`` begins if it ends at ``end``."""
         stop, resume, kind = cuts[i]
-        least = max(stop - overlap, end - size)
+        least = stop - overlap if kind == FORCED else max(stop - overlap, end - size)
         if least >= resume:
             return resume
         if kind == FORCED:
