@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,55 +14,87 @@ from lexloom.functions.text import is_blank, tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 POOL = 24
+#: Queries whose weights are sent to every task at once; more queries are taken block by block.
+BLOCK = 512
+
+
+def collection_stats(store: DataFrame) -> DataFrame:
+    """One row ``(n, avgdl)``."""
+    return store.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def term_table(store: DataFrame) -> DataFrame:
     """``(term, df, raw_idf, idf)``: a negative idf is replaced by ``EPSILON`` times the vocabulary's mean raw idf."""
     counted = store.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = store.agg(F.count("*").alias("n"))
-    raw = counted.crossJoin(total).withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).drop("n")
+    raw = counted.crossJoin(F.broadcast(collection_stats(store))).withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).select("term", "df", "raw_idf")
     mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
-    return raw.crossJoin(mean).select("term", "df", "raw_idf", F.when(F.col("raw_idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
-
-
-def collection_stats(store: DataFrame) -> DataFrame:
-    """One row ``(n, avgdl)``."""
-    return store.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", "raw_idf", F.when(F.col("raw_idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
 
 
-def scores(queries: DataFrame, store: DataFrame) -> DataFrame:
-    """``(query_id, id, ord, score)`` of every chunk that shares a token with a query.
-
-    Blank queries are left out; a token counts as often as the query holds it. Only tokens of queries are
-    grouped, so the postings that move are those that score; texts never do.
-    """
-    asked = queries.where(~is_blank(F.col("text"))).select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighed = asked.join(term_table(store), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
-    posted = store.select("id", "ord", tokens(F.col("text")).alias("toks")).select("id", "ord", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    tf = posted.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "ord", "dl", "term").agg(F.count("*").alias("tf"))
-    gain = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return tf.crossJoin(F.broadcast(collection_stats(store).select("avgdl"))).join(weighed, "term").groupBy("query_id", "id", "ord").agg(F.sum(gain).alias("score"))
+def query_weights(queries: DataFrame, store: DataFrame) -> DataFrame:
+    """``(query_id, term, weight, avgdl)`` of every non-blank query; a term counts as often as the query holds
+    it, one the store lacks weighs nothing, and a query without tokens has one row with a null term."""
+    asked = queries.where(~is_blank(F.col("text"))).select("query_id", F.explode_outer(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    weighed = asked.join(term_table(store).select("term", "idf"), "term", "left")
+    return weighed.crossJoin(F.broadcast(collection_stats(store))).select("query_id", "term", (F.col("qtf") * F.coalesce("idf", F.lit(0.0))).alias("weight"), "avgdl")
 
 
 def bm25_topk(queries: DataFrame, store: DataFrame, k: int = POOL) -> DataFrame:
     """``(query_id, id, ord, score, rank)``, ranks from 0, the best ``k`` chunks of every non-blank query.
 
-    There is no threshold: chunks without a common token score 0 and rank by ``ord`` below positive and
-    above negative scores. Scores that agree to nine digits are ties and go by ``ord``. Only queries with
-    fewer than ``k`` positive scores are filled up; their unmatched chunks of smallest ``ord`` lie within
-    the first ``k`` + (matches of the query) chunks, which is all that is read for it.
+    There is no threshold: chunks without a common token score 0 and rank by ``ord`` below positive and above
+    negative scores. Scores that agree to nine digits are ties and go by ``ord``.
+
+    The weights of a block of queries go to every task. A batch of chunks becomes a matrix of saturated term
+    frequencies over the block's terms; its product with the weights scores all its chunks for all queries at
+    once, and only the batch's best ``k`` of each query leave the task. No posting is shuffled.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    found = scores(queries, store).withColumn("score", F.round("score", 9))
-    live = queries.where(~is_blank(F.col("text"))).select("query_id")
-    matched = live.join(found, "query_id", "left").groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("positive"), F.count("score").alias("n"))
-    short = matched.where(F.col("positive") < k).select("query_id", "n")
-    deepest = short.agg(F.max("n")).first()[0]
-    everything = found
-    if deepest is not None:
-        first = store.select("id", "ord").orderBy("ord").limit(int(deepest) + k)
-        blank = short.select("query_id").crossJoin(first).join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
-        everything = found.unionByName(blank.withColumn("score", F.lit(0.0)).select("query_id", "id", "ord", "score"))
+    spark, id_type = store.sparkSession, store.schema["id"].dataType.simpleString()
+    q_type = queries.schema["query_id"].dataType.simpleString()
+    held = store.select("id", "ord", tokens(F.col("text")).alias("toks"))
+    live = queries.where(~is_blank(F.col("text")))
+    n_blocks = max(1, -(-live.count() // BLOCK))
+    parts = []
+    for b in range(n_blocks):
+        own = live.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b) if n_blocks > 1 else live
+        got = query_weights(own, store).toArrow()
+        if not got.num_rows:
+            continue
+        ids = sorted(set(got.column("query_id").to_pylist()))
+        terms = sorted({t for t in got.column("term").to_pylist() if t is not None})
+        at_query, at_term = {q: i for i, q in enumerate(ids)}, {t: i for i, t in enumerate(terms)}
+        weight = np.zeros((max(1, len(terms)), len(ids)))
+        for q, t, w in zip(got.column("query_id").to_pylist(), got.column("term").to_pylist(), got.column("weight").to_pylist()):
+            if t is not None:
+                weight[at_term[t], at_query[q]] = w
+        block = spark.sparkContext.broadcast((ids, terms, weight, got.column("avgdl")[0].as_py() or 1.0))
+
+        def best(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            ids, terms, weight, avgdl = block.value
+            vocabulary, step = pa.array(terms, pa.string()), max(16, 4_000_000 // len(weight))
+            for whole in batches:
+                for s in range(0, whole.num_rows, step):
+                    batch = whole.slice(s, step)
+                    n, lists = batch.num_rows, batch.column(2)
+                    dl = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                    spot = pc.index_in(lists.flatten(), value_set=vocabulary)
+                    known = pc.is_valid(spot).to_numpy(zero_copy_only=False)
+                    cell = np.repeat(np.arange(n), dl)[known] * len(weight) + spot.drop_null().to_numpy()
+                    tf = np.bincount(cell, minlength=n * len(weight)).reshape(n, -1).astype(np.float64)
+                    gain = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * dl / avgdl))[:, None])
+                    score = np.round((gain @ weight).T, 9) + 0.0
+                    order = np.lexsort((np.broadcast_to(batch.column(1).to_numpy(), score.shape), -score))[:, :k]
+                    rows = pa.array(order.ravel())
+                    asked_by = [q for q in ids for _ in range(order.shape[1])]
+                    yield pa.RecordBatch.from_arrays([pa.array(asked_by), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.take_along_axis(score, order, 1).ravel())], names=["query_id", "id", "ord", "score"])
+
+        parts.append(held.mapInArrow(best, f"query_id {q_type}, id {id_type}, ord bigint, score double"))
+    if not parts:
+        return live.limit(0).join(held.limit(0), F.lit(False)).select("query_id", "id", "ord", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
-    return everything.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    return out.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)

@@ -34,9 +34,16 @@ def read_vectors(spark: SparkSession, path: str, embedder: str) -> DataFrame:
 
 
 def one_per_id(chunks: DataFrame) -> DataFrame:
-    """One row per id: the content of the last, the place (``ord``) of the first."""
-    rest = [c for c in chunks.columns if c not in ("id", "ord")]
-    return chunks.groupBy("id").agg(F.min("ord").alias("ord"), F.max_by(F.struct(*rest), F.col("ord")).alias("x")).select("id", "ord", *(F.col(f"x.{c}").alias(c) for c in rest))
+    """One row per id: the content of the last, the place (``ord``, unique) of the first.
+
+    Only ids and places are shuffled. What is joined to the rows is the table of repeated ids' places, which
+    is small unless much was ingested again; texts stay where they are, and unused columns are never read.
+    """
+    places = chunks.select("id", "ord")
+    repeated = places.groupBy("id").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    affected = places.join(repeated, "id").select(F.col("ord").alias("__ord"), F.when(F.col("ord") == F.col("last"), F.col("first")).alias("__place"))
+    joined = chunks.join(affected, chunks["ord"] == affected["__ord"], "left").where("__ord is null or __place is not null")
+    return joined.select(*(F.coalesce("__place", "ord").alias("ord") if c == "ord" else F.col(c) for c in chunks.columns))
 
 
 def from_manifest(chunks: DataFrame) -> DataFrame:
