@@ -224,7 +224,7 @@ def _fit(rows: DataFrame, dim: int | None, seed: int):
     """Usable rows ``(id, v, key)``, their length, and what is fitted on the bounded sample."""
     n_rows = max(1, rows.count())
     part = min(1.0, 1.2 * SAMPLE / n_rows)
-    drawn = rows.where(SOUND).where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) <= int(part * (1 << 20))).select("v").limit(SAMPLE).toArrow().column("v").to_pylist()
+    drawn = rows.where(SOUND).where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) <= int(part * (1 << 20))).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
     dim = dim or max(map(len, drawn), default=1)
     rng = np.random.default_rng(seed)
     sample = _unit(np.array([v for v in drawn if len(v) == dim] or [[1.0] * dim], np.float32).reshape(-1, dim))
