@@ -5,8 +5,9 @@ one would be too coarse for the table) and ``BOOKS`` full-dimensional codebooks,
 k-means and refined by least squares over beam-search encodings. Every row is encoded by beam search;
 its code, the norm of what the code stands for, and its vector go to its ``SPILL`` best cells. Within a
 cell each row's lookup table (its product with every codeword) scores all other rows by their codes and
-stored norms, and the best ``SHORTLIST`` are ranked again by their exact cosine. The best ``k`` over all
-cells are a row's neighbours.
+stored norms. The exact cosines of the best ``SHORTLIST`` set a bar, and every row that its code does not
+prove to be under the bar is ranked again by its exact cosine, so within a cell no neighbour is lost. The
+best ``k`` over all cells are a row's neighbours.
 
 Equal vectors form one class that enters a cell once, so any number of copies costs one row; the copies
 of a class are each other's neighbours at cosine 1, in the order of their ids. A cell of more than
@@ -33,7 +34,11 @@ BOOKS, WORDS, BEAM = 8, 64, 4
 CELL_ROWS, CELL_MAX = 500, 16_384
 #: Cells of one level of k-means; beyond, two nested levels.
 FLAT_CELLS = 2048
-SPILL, SHORTLIST = 3, 32
+SPILL = 3
+#: Rows by code whose exact cosines set the bar that all others are held against; it limits no result.
+SHORTLIST = 32
+#: Share of pairs left open by the codes from which computing all is quicker.
+DENSE = 0.1
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -143,31 +148,67 @@ class Cells:
         return np.stack(best, 1)
 
 
+def _best(quant: AdditiveQuantiser, q, vec, code, norm, k: int, floor: np.ndarray, places: int = 9):
+    """Flat ``(query, row, cosine)``: the ``k`` rows of largest exact cosine of each query, ties to the
+    earlier row; rows below the query's ``floor`` need not come.
+
+    A row is left out by its code only where that is proven: with the angles s to what the code stands
+    for and r between that and the row, the cosine is at most cos(s - r). Where this leaves more than
+    ``DENSE`` of the pairs open, all are computed.
+    """
+    place = code.astype(np.int64) + np.arange(BOOKS) * WORDS
+    near = np.clip(np.einsum("nd,nd->n", vec, quant.decode(code)) / norm, -1, 1).astype(np.float32)
+    far = np.sqrt(1 - near * near)
+    short = min(max(SHORTLIST, 4 * k), len(vec))
+    got, dense, s = [], len(vec) <= short, 0
+    step = max(1, 400_000 // len(vec))
+    while s < len(q):
+        e = s + (step if s else min(step, 32))  # a few first, to see whether the codes rule out enough
+        part, least = q[s:e], floor[s:e].astype(np.float32)
+        if not dense:
+            lut = part @ quant.flat.T
+            score = lut[:, place[:, 0]]
+            for m in range(1, BOOKS):
+                score += lut[:, place[:, m]]
+            score = np.clip(score / norm, -1, 1)
+            top = np.argpartition(-score, short - 1, axis=1)[:, :short]
+            exact = np.einsum("qd,qsd->qs", part, vec[top])
+            least = np.maximum(least, -np.partition(-exact, k - 1, axis=1)[:, k - 1])
+            most = np.where(score >= near, 1, score * near + np.sqrt(1 - score * score) * far)
+            one, row = np.nonzero(most >= least[:, None] - 1e-5)
+            dense = len(one) > DENSE * score.size
+        if dense:
+            exact = part @ vec.T
+            if len(vec) > k:
+                least = np.maximum(least, -np.partition(-exact, k - 1, axis=1)[:, k - 1])
+            one, row = np.nonzero(exact >= least[:, None] - 1e-6)
+            sim = exact[one, row]
+        else:
+            sim = np.concatenate([np.einsum("pd,pd->p", part[one[i : i + 100_000]], vec[row[i : i + 100_000]]) for i in range(0, max(1, len(one)), 100_000)])
+        got.append(_first(one, row, sim, k, places))
+        got[-1][0] += s
+        s = e
+    return [np.concatenate(c) for c in zip(*got)]
+
+
+def _first(one: np.ndarray, order: np.ndarray, sim: np.ndarray, k: int, places: int) -> list[np.ndarray]:
+    """Of each query in ``one`` the first ``k`` by cosine to so many ``places``, then ``order``."""
+    by = np.lexsort((order, -np.round(sim.astype(np.float64), places), one))
+    one, order, sim = one[by], order[by], sim[by]
+    start = np.flatnonzero(np.concatenate(([True], one[1:] != one[:-1]))[: len(one)])
+    ok = np.arange(len(one)) - np.repeat(start, np.diff(np.append(start, len(one)))) < k
+    return [one[ok], order[ok], sim[ok]]
+
+
 def _neighbours(quant: AdditiveQuantiser, q_key, q_vec, key, vec, code, norm, k: int, least: float | None):
     """Best ``k`` rows of (key, vec, code, norm) for each query, exact cosines, itself left out."""
-    place = code.astype(np.int64) + np.arange(BOOKS) * WORDS
     if len(key) < 2:
         return None
-    short = min(max(SHORTLIST, 4 * k), len(key))
-    got = []
-    step = max(1, 400_000 // len(key))
-    for s in range(0, len(q_key), step):
-        q = q_vec[s : s + step]
-        lut = q @ quant.flat.T
-        score = lut[:, place[:, 0]]
-        for m in range(1, BOOKS):
-            score += lut[:, place[:, m]]
-        score *= 1 / norm
-        score[q_key[s : s + step, None] == key[None, :]] = -9
-        top = np.argpartition(-score, short - 1, axis=1)[:, :short]
-        exact = np.einsum("qd,qsd->qs", q, vec[top])
-        exact[q_key[s : s + step, None] == key[top]] = -9
-        best = np.argsort(-exact, 1, kind="stable")[:, :k]
-        rows = np.arange(len(q))[:, None]
-        sim = exact[rows, best]
-        ok = sim > (-2 if least is None else least - 1e-6)
-        got.append((np.repeat(q_key[s : s + step], ok.sum(1)), key[top[rows, best]][ok], sim[ok]))
-    return [np.concatenate(c) for c in zip(*got)]
+    one, row, sim = _best(quant, q_vec, vec, code, norm, k + 1, np.full(len(q_key), -2 if least is None else least - 1e-6))  # one more, as it may be itself
+    other = q_key[one] != key[row]
+    one, row, sim = _first(one[other], row[other], sim[other], k, 9)
+    ok = sim > (-2 if least is None else least - 1e-6)
+    return [q_key[one[ok]], key[row[ok]], sim[ok]]
 
 
 ROW = "cell bigint, key bigint, vec binary, code binary, norm float"
@@ -308,9 +349,9 @@ def search_vectors(df: DataFrame, queries: DataFrame, id_col: str = "id", vector
     """``(query_id, neighbour, cosine, rank)``: the ``k`` most similar rows of every query vector.
 
     ``queries(query_id, embedding)`` is a stated set, compared with all rows in blocks of ``QUERY_BLOCK``
-    queries: every row is scored by its code and stored norm, each batch's best ``SHORTLIST`` of a query are
-    ranked again exactly, and a task keeps the best ``k`` of what it has seen. A row with the query's own id
-    never counts. Unusable rows and queries are left out; ties go to the smaller id.
+    queries: every row is scored by its code and stored norm, all rows not proven to be further than the
+    best ``k`` are ranked again exactly, and a task keeps the best ``k`` of what it has seen. A row with the
+    query's own id never counts. Unusable rows and queries are left out; ties go to the smaller id.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
     usable, dim, _, quant = _fit(rows, dim, seed)
@@ -330,35 +371,29 @@ def search_vectors(df: DataFrame, queries: DataFrame, id_col: str = "id", vector
 
         def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             quant, ids, q = block.value
-            best_sim, best_id = np.full((len(ids), 0), -9.0, np.float32), np.empty((len(ids), 0), object)
-            lut = q @ quant.flat.T
             own = np.array(ids, object)
+            held = [np.empty(0, np.int64), np.empty(0, object), np.empty(0, np.float32)]
+            floor = np.full(len(ids), -2.0)
             for whole in batches:
                 for at in range(0, whole.num_rows, 4000):
                     batch = whole.slice(at, 4000)
-                    x = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
                     key = np.array(batch.column(0).to_pylist(), object)
+                    by = np.argsort(key, kind="stable")
+                    key, x = key[by], _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))[by]
                     code = quant.encode(x)
                     norm = np.maximum(np.linalg.norm(quant.decode(code), axis=1), 1e-6)
-                    spot = code.astype(np.int64) + np.arange(BOOKS) * WORDS
-                    short = min(max(SHORTLIST, 4 * k) + 1, len(x))
-                    sims, names = [], []
-                    for s in range(0, len(ids), 200):
-                        score = lut[s : s + 200][:, spot[:, 0]]
-                        for m in range(1, BOOKS):
-                            score += lut[s : s + 200][:, spot[:, m]]
-                        score /= norm
-                        top = np.argpartition(-score, short - 1, axis=1)[:, :short]
-                        exact = np.einsum("qd,qsd->qs", q[s : s + 200], x[top])
-                        exact[key[top] == own[s : s + 200, None]] = -9
-                        sims.append(exact)
-                        names.append(key[top])
-                    sim, name = np.concatenate((best_sim, np.concatenate(sims)), 1), np.concatenate((best_id, np.concatenate(names)), 1)
-                    rows = np.arange(len(ids))[:, None]
-                    keep = np.argsort(-sim, 1, kind="stable")[:, : 2 * k]
-                    best_sim, best_id = sim[rows, keep], name[rows, keep]
-            ok = best_sim > -2
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, ok.sum(1)).tolist(), pa.array(ids).type), pa.array(best_id[ok].tolist(), whole_type), pa.array(best_sim[ok].astype(np.float64))], names=["query_id", "neighbour", "cosine"])
+                    one, row, sim = _best(quant, q, x, code, norm, k + 1, floor, 6)  # one more, as it may be itself
+                    ok = key[row] != own[one]
+                    one, name, sim = (np.concatenate(c) for c in zip(held, (one[ok], key[row[ok]], sim[ok])))
+                    if not len(one):
+                        continue
+                    names, place = np.unique(name, return_inverse=True)
+                    one, place, sim = _first(one, place, sim, k, 6)
+                    held = [one, names[place], sim]
+                    last = np.flatnonzero(np.bincount(one, minlength=len(ids)) == k)
+                    floor[last] = sim[np.searchsorted(one, last, "right") - 1]
+            one, name, sim = held
+            yield pa.RecordBatch.from_arrays([pa.array(own[one].tolist(), pa.array(ids).type), pa.array(name.tolist(), whole_type), pa.array(sim.astype(np.float64))], names=["query_id", "neighbour", "cosine"])
 
         whole_type = pa.string() if id_type == "string" else pa.int64() if id_type == "bigint" else pa.int32()
         parts.append(indexed.select("id", "v").mapInArrow(scan, f"query_id {q_type}, neighbour {id_type}, cosine double"))

@@ -78,3 +78,35 @@ def test_large_cells_lose_nothing(spark, monkeypatch):
 def test_empty(spark):
     assert V.similar_vectors(frame(spark, [])).count() == 0
     assert V.search_vectors(frame(spark, []), frame(spark, []).selectExpr("id as query_id", "embedding")).count() == 0
+
+
+def tight(n, seed=5):
+    """A third of the rows in one narrow cluster of different vectors."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=16)
+    return [(f"v{i:05}", (base + 0.17 * rng.normal(size=16) if i % 3 == 0 else rng.normal(size=16)).astype(np.float32).tolist()) for i in range(n)]
+
+
+def test_tight_cluster_of_different_vectors_is_exact(spark, monkeypatch):
+    rows = tight(1200)
+    monkeypatch.setattr(V, "CELL_ROWS", 2000)  # one cell: what is lost is lost after the cells
+    want = {(a, b) for a, near in brute(rows).items() for b, s in near if s >= 0.9}
+    kw = {"k": 5, "dim": 16, "least": 0.9}
+    assert len(want) > 1500
+    for most in (V.CELL_MAX, 200):
+        monkeypatch.setattr(V, "CELL_MAX", most)
+        got = {(r["id"], r["neighbour"]) for r in V.similar_vectors(frame(spark, rows), **kw).collect()}
+        assert len(got ^ want) <= 0.001 * len(want)  # but for ties by rounding
+
+
+def test_codes_rule_out_only_what_is_proven():
+    rng = np.random.default_rng(6)
+    x = V._unit(np.array([v for _, v in tight(900) + clustered(900)]))
+    quant = V.AdditiveQuantiser.fit(x, rng, rounds=1)
+    code = quant.encode(x)
+    norm = np.linalg.norm(quant.decode(code), axis=1)
+    s = x @ x.T
+    for least in (-2.0, 0.9):
+        one, row, sim = V._best(quant, x, x, code, norm, 6, np.full(len(x), least))
+        want = {(a, b) for a in range(len(x)) for b in np.argsort(-s[a], kind="stable")[:6] if s[a, b] >= least}
+        assert len(want ^ set(zip(one.tolist(), row.tolist()))) <= 0.001 * len(want)  # but for ties by rounding
