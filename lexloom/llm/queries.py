@@ -72,6 +72,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
+def p5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar others of every usable vector, with their cosine."""
+    near = vector_knn.similar_vectors(table(spark, sf_dir, "chunk_vectors"), k=5)
+    return near.select("id", "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
+
+
 def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 most similar others of every twentieth id (by its hash), searched among all vectors."""
     vectors = table(spark, sf_dir, "chunk_vectors")
@@ -104,4 +110,4 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_statistics(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_segments": p4_segments, "p5_found": p5_found, "p5_search": p5_search, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_segments": p4_segments, "p5_found": p5_found, "p5_knn": p5_knn, "p5_search": p5_search, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics}

@@ -110,3 +110,26 @@ def test_codes_rule_out_only_what_is_proven():
         one, row, sim = V._best(quant, x, x, code, norm, 6, np.full(len(x), least))
         want = {(a, b) for a in range(len(x)) for b in np.argsort(-s[a], kind="stable")[:6] if s[a, b] >= least}
         assert len(want ^ set(zip(one.tolist(), row.tolist()))) <= 0.001 * len(want)  # but for ties by rounding
+
+
+def test_all_neighbours_of_the_tables(spark):
+    import os
+
+    import pytest
+
+    from lexloom.llm.queries import QUERIES
+
+    data = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    near = {}
+    for r in QUERIES["p5_knn"](spark, data).collect():
+        near.setdefault(r["id"], []).append(r["cosine"])
+    v = {r["id"]: r["embedding"] for r in spark.read.parquet(f"{data}/chunk_vectors.parquet").collect() if r["id"] is not None and r["embedding"] is not None and len(r["embedding"]) == 64}
+    ids = sorted(i for i, x in v.items() if None not in x and np.isfinite(x).all() and np.any(x))
+    x = V._unit(np.array([v[i] for i in ids]))
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    fifth = -np.sort(-s, 1)[:, 4]
+    assert set(near) == set(ids)
+    assert np.mean([sum(c >= t - 2e-6 for c in near[i]) / 5 for i, t in zip(ids, fifth)]) >= 0.9
