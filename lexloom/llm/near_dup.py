@@ -41,8 +41,11 @@ NODE_ROWS = 4096
 SKETCH_AGREE = 38
 #: Bits of the fixed-size filter that spares reading texts of records without candidates.
 FILTER_BITS = 1 << 24
-#: Copies of one text up to which p2's pair list names all pairs of copies; beyond, each copy and the smallest id.
-ALL_COPIES = 1000
+#: None: the pair list names all pairs at every size. If a caller sets a number, classes of more copies
+#: name each copy beside the smallest id only, which also leaves out pairs of texts that differ in case or punctuation.
+ALL_COPIES: int | None = None
+#: Copies of one class that one task pairs with as many others.
+COPY_ROWS = 1000
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -321,17 +324,25 @@ def similar_classes(df: DataFrame, id_col: str = "id", text_col: str = "text", *
 def similar_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(id_a, id_b)`` with ``id_a < id_b``: all pairs of records of verified classes, and of copies.
 
-    Classes of more than ``ALL_COPIES`` copies name each copy beside the smallest id instead of all pairs.
+    The pairs of a class of many copies are spread over tasks in blocks of ``COPY_ROWS``.
     """
     sized = members.groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    many = sized.where("n > 1")
-    copies = members.join(many, "class")
-    star = copies.where((F.col("n") > ALL_COPIES) & (F.col("id") != F.col("first"))).select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
-    some = copies.where(F.col("n") <= ALL_COPIES).select("class", "id")
-    each = some.select("class", F.col("id").alias("id_a")).join(some.select("class", F.col("id").alias("id_b")), "class").where("id_a < id_b").select("id_a", "id_b")
+    copies = members.join(sized.where("n > 1"), "class")
+    star, some = [], copies
+    if ALL_COPIES is not None:
+        star = [copies.where((F.col("n") > ALL_COPIES) & (F.col("id") != F.col("first"))).select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))]
+        some = copies.where(F.col("n") <= ALL_COPIES)
+    n_blocks = F.ceil(F.col("n") / COPY_ROWS).cast("int")
+    placed = some.select("class", "id", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block"))
+    every = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    left = placed.select("class", F.col("block").alias("l"), every.alias("r"), F.col("id").alias("id_a"))
+    right = placed.select("class", every.alias("l"), F.col("block").alias("r"), F.col("id").alias("id_b"))
+    each = left.join(right, ["class", "l", "r"]).where("id_a < id_b").select("id_a", "id_b")
     linked = pairs.select("a", "b")
     across = linked.join(members.select(F.col("class").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("class").alias("b"), F.col("id").alias("y")), "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    return star.union(each).union(across)
+    for more in star:
+        each = each.union(more)
+    return each.union(across)
 
 
 def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:

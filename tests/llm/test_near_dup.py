@@ -87,6 +87,21 @@ def test_many_copies_are_named_beside_the_first(spark, monkeypatch):
     assert {p for p in got if "d" not in p} == {("c0", f"c{i}") for i in range(1, 5)} and {p for p in got if "d" in p} == {(f"c{i}", "d") for i in range(5)}
 
 
+def test_every_pair_of_many_copies(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(f"c{i:04}", text if i % 2 else text.upper()) for i in range(1001)]  # two different texts, one class
+    df = spark.createDataFrame(rows, "id string, text string")
+    got = N.similar_pairs(*N.similar_classes(df, threshold=0.5, width=3, min_words=40))
+    assert got.count() == got.distinct().count() == 1001 * 1000 // 2
+
+
+def test_blocks_of_copies_give_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(N, "COPY_ROWS", 7)
+    members = spark.createDataFrame([(f"c{i:02}", 1) for i in range(50)] + [("d", 2), ("e", 3), ("f", 3)], "id string, class bigint")
+    got = [tuple(r) for r in N.similar_pairs(members, spark.createDataFrame([], "a bigint, b bigint, similarity double")).collect()]
+    assert sorted(got) == sorted([(f"c{i:02}", f"c{j:02}") for i in range(50) for j in range(i + 1, 50)] + [("e", "f")])
+
+
 def test_empty(spark):
     assert run(spark, [], threshold=0.5, width=3)[2] == set()
 
