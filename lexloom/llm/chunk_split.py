@@ -11,7 +11,9 @@ where the next boundary is too far away for that, it begins later, at the cut it
 an unbreakable stretch the pieces share exactly ``overlap`` code points.
 
 Candidates are thinned to the best one in each ``GRID`` code points; places beside long stretches always
-stay, so a text that can be cut without a forced cut always is. The work for a text of n code points is
+stay, and so do all between two places that would else be further apart than a piece, so a text that can be
+cut without a forced cut always is, and no piece is longer than ``size``. A run of marks without a base that
+is longer than a piece is cut before a mark. The work for a text of n code points is
 O(n * size / GRID^2).
 
 Edge cases: null and blank texts give no piece, a short text one piece; ties between ways go to the
@@ -68,7 +70,27 @@ def _joined(text: str, at: int) -> bool:
     return unicodedata.combining(c) != 0 or c in "‍︎️" or text[at - 1] == "‍" or "\U0001f3fb" <= c <= "\U0001f3ff" or unicodedata.category(c) in ("Mn", "Me")
 
 
-def boundaries(text: str, size: int = SIZE) -> tuple[list[tuple[int, int, int]], list[int], list[int]]:
+def _forced_places(text: str, a: int, b: int, step: int, reach: int) -> list[int]:
+    """Places for cuts in the stretch from ``a`` to ``b``, every ``step`` code points and at most ``reach``
+    apart: between two units where there is such a place, else before a mark."""
+    grid = []
+    for k in range(a + step, b, step):
+        while k < b and _joined(text, k):
+            k += 1
+        if k < b:
+            grid.append(k)
+    out, last = [], a
+    for k in [*grid, b]:
+        while k - last > reach:
+            last = next((t for t in range(last + reach, last, -1) if not _joined(text, t)), last + reach)
+            out.append(last)
+        if k < b:
+            out.append(k)
+        last = k
+    return out
+
+
+def boundaries(text: str, size: int = SIZE, overlap: int = OVERLAP) -> tuple[list[tuple[int, int, int]], list[int], list[int]]:
     """Candidate cuts ``(end, start, kind)`` in order: a piece may end at ``end``, the next text begins
     at ``start``. Beside them the sentence and line starts, and all word starts."""
     found: dict[tuple[int, int], int] = {}
@@ -94,20 +116,30 @@ def boundaries(text: str, size: int = SIZE) -> tuple[list[tuple[int, int, int]],
         a, b = m.span()
         if b - a > size - 2 * GRID:
             tight |= {a, b}
+            if a and text[a - 1] in MARKS:
+                found.setdefault((a, a), BEFORE)  # its closing signs alone may be too long for the mark's piece
         if b - a > size:
-            for k in range(a + GRID, b, GRID):
-                while k < b and _joined(text, k):
-                    k += 1
-                if k < b:
-                    found.setdefault((k, k), FORCED)
+            reach = size - overlap if overlap < size else 1  # what a piece that begins with the overlap can hold
+            for k in _forced_places(text, a, b, min(GRID, reach), reach):
+                found.setdefault((k, k), FORCED)
+    whole = [(end, start, kind) for (end, start), kind in sorted(found.items())]
+    whole.append((len(text), len(text), END))
     out: list[tuple[int, int, int]] = []
-    for (end, start), kind in sorted(found.items()):
+    for end, start, kind in whole[:-1]:
         if out and end // GRID == out[-1][0] // GRID and not ({end, start} & tight or {out[-1][0], out[-1][1]} & tight):
             if kind <= out[-1][2]:
                 out[-1] = (end, start, kind)
         else:
             out.append((end, start, kind))
-    out.append((len(text), len(text), END))
+    out.append(whole[-1])
+    # Thinning may part two neighbours, with the white space between them, by more than a piece: all between come back.
+    thin, out, free, at = out, [], 0, 0
+    for cut in thin:
+        to = bisect.bisect_left(whole, cut, at)
+        if cut[0] - free > size:
+            out += whole[at:to]
+        out.append(cut)
+        at, free = to + 1, cut[0] - overlap if cut[2] == FORCED else cut[1]
     return out, sorted(good), sorted(fine)
 
 
@@ -118,7 +150,7 @@ def split(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int
         return []
     if n <= size:
         return [(0, n, END)]
-    cuts, good, fine = boundaries(text, size)
+    cuts, good, fine = boundaries(text, size, overlap)
     # One way from the text's start to each cut: cost, cut before (-1: none), start of the piece.
     count = len(cuts)
     ends = [c[0] for c in cuts]
@@ -184,6 +216,7 @@ def split(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int
     while j >= 0:
         out.append((began[j] if came[j] >= 0 else 0, ends[j], cuts[j][2]))
         j = came[j]
+    assert all(e - s <= size for s, e, _ in out), "a piece is longer than the size"
     return out[::-1]
 
 

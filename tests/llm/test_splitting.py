@@ -66,6 +66,25 @@ def test_long_text_is_whole():
     check(C.normalise(text), pieces, 900, 150)
 
 
+def test_wide_gap_beside_a_long_stretch():
+    for wide in (60, 100, 400):
+        for n in range(780, 901, 5):
+            for lead in ("foo. b", "foo. b " * 130):
+                text = C.normalise(lead + " " * wide + "x" * n + " and further words" * 20)
+                pieces = C.split(text)
+                check(text, pieces, 900, 150)
+                assert not any(k == C.FORCED for *_, k in pieces)
+
+
+def test_stretches_without_a_place_between_units():
+    for text in ("a" + "\u0301" * 3000, "\u0301" * 901, "\U0001f468\u200d" * 1200, "a" * 880 + "\u0301" * 800 + "b" * 50, "。" + "」" * 900 + " end"):
+        for size, overlap in ((900, 150), (900, 0), (140, 30), (20, 5), (1, 0)):
+            pieces = C.split(text, size, overlap)
+            assert all(0 < e - s <= size for s, e, _ in pieces) and pieces[0][0] == 0 and pieces[-1][1] == len(text)
+            assert all(s < s2 <= e or not text[e:s2].strip() for (s, e, _), (s2, _, _) in zip(pieces, pieces[1:]))
+    assert not any(k == C.FORCED for *_, k in C.split("。" + "」" * 900 + " end"))
+
+
 def test_table(spark):
     df = spark.createDataFrame([("a", "x " * 600, 3, "clash"), ("a", "x " * 600, 3, "clash"), ("b", None, None, None), ("c", " \r\n ", 1, None), ("d", "short\r\ntext", 0, None), (None, "n", 0, None)], "id string, text string, page int, start string")
     rows = C.split_records(df).collect()
