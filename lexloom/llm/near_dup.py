@@ -3,9 +3,10 @@
 A record is the set of its distinct triples of consecutive words (``width`` words in general). Records
 with the same word sequence form one class and are handled once, so any number of copies costs one
 entry. Each class gets ``trees`` paths of three 8-bit MinHash coordinates. A tree is the sorted list of
-paths; classes that share a prefix are candidates. Prefixes are shortened from the full path until the
-recall expected at the similarity threshold, 1 - (1 - t^depth)^trees, reaches ``recall``; a shallower
-prefix is never needed, a deeper one would lose pairs.
+paths; classes that share a prefix of one fixed depth are candidates: the longest at which the recall
+expected at the similarity threshold, 1 - (1 - t^depth)^trees, reaches ``recall``. With the defaults, and
+for both registered queries, that is the full path, so this is banding of 32 bands by 3 rows: prefixes
+are not shortened node by node. A pair exactly at 0.5 shares no band in 1.4 % of cases and is lost then.
 
 Within a node only those pairs go on whose 64-bit sketches (one further bit of 64 coordinates) agree
 in ``SKETCH_AGREE`` bits at least, then those whose paths agree in enough coordinates; both bounds lie
