@@ -1,10 +1,9 @@
 """Per-document text statistics, and documents that are lists, tables or junk instead of prose.
 
-A text longer than ``CHUNK`` code points is split into chunks, at line ends where there are any. Each
-chunk yields counts that add up: its left neighbour's last character tells whether its first word and
-line began before, and the lines beside its edges are looked at (not counted) when runs of lines are
-judged. So the sums over a document's chunks, merged by partial aggregation, are those of the whole text,
-and a huge document is spread over tasks. Ratios and rules come from the sums.
+Lines are judged on the whole text, as the rules look at whole blocks and runs of lines, however long they
+are. Words are counted as a stream where a text is longer than ``CHUNK`` code points, so that no list of all
+its words is held. A text is one row, so one task counts it; rows are spread over tasks. Figures of rows that
+repeat an id add up. Ratios and rules come from the sums.
 
 Lines are judged as follows. Junk: replacement characters, text decoded with the wrong encoding, mostly
 symbols, long unbroken strings, single scattered characters, log lines, menus, the same words over and
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK, CONTEXT = 50_000, 600
+CHUNK = 50_000
 MIN_CHARS = 40
 ITEM, RUN = 100, 3
 
@@ -53,6 +52,7 @@ NO_LETTERS = bytes(b for b in range(256) if not chr(b).isalpha())
 BORDER = frozenset("+-|=:─│┼┌┐└┘├┤┬┴━ \t")
 GAP = re.compile(r"\S(?: {3,}|\t)\S")
 BREAK = re.compile(r"\r\n|\r|\n")
+SPACES = re.compile(r"\s+")
 
 PROSE, JUNK, TABLE, LIST, BLANK = range(5)
 
@@ -212,28 +212,30 @@ def judge(lines: list[str]) -> list[int]:
 COUNTS = ["n_chars", "n_words", "word_chars", "n_symbols", "n_lines", "n_ended", "n_common", "list_chars", "table_chars", "junk_chars"]
 
 
-def count_chunk(text: str, before: str, after: str) -> list[int]:
-    """Additive counts of a chunk between the texts ``before`` and ``after``."""
-    words = WORD.findall(text.lower())
-    chars = sum(map(len, words))
-    n_words, common = len(words), sum(w in COMMON for w in words)
-    if before and words and WORD.match(text[0]) and WORD.match(before[-1]):
-        n_words -= 1  # the word began in the chunk before
-    spaces = len(text) - sum(map(len, text.split()))
-    lead = BREAK.split(before)[1 if len(before) >= CONTEXT else 0 :] if before else []
-    tail = BREAK.split(after) if after else []
+def _word_counts(text: str, chunk: int) -> tuple[int, int, int]:
+    """Number of words, their code points, and how many of them are common."""
+    low = text.lower()
+    if len(text) <= chunk:
+        words = WORD.findall(low)
+        return len(words), sum(map(len, words)), sum(w in COMMON for w in words)
+    n = chars = common = 0
+    for m in WORD.finditer(low):
+        n += 1
+        chars += m.end() - m.start()
+        common += m.group() in COMMON
+    return n, chars, common
+
+
+def count_text(text: str, chunk: int = CHUNK) -> list[int]:
+    """The counts of ``COUNTS`` of a whole text."""
+    n_words, chars, common = _word_counts(text, chunk)
+    spaces = len(text) - sum(map(len, text.split())) if len(text) <= chunk else sum(m.end() - m.start() for m in SPACES.finditer(text))
     own = BREAK.split(text)
-    if own and not own[-1] and after:
-        own.pop()  # the chunk ends with a line end
-    joined_left = bool(before) and before[-1] not in "\r\n"
-    if lead and not lead[-1]:
-        lead.pop()
-    kinds = judge([*lead, *own, *tail])[len(lead) : len(lead) + len(own)]
     size = [0] * 5
     last = PROSE
     ended = filled = 0
     left = len(text)
-    for line, kind in zip(own, kinds):
+    for line, kind in zip(own, judge(own)):
         if kind == BLANK:
             kind = last
         else:
@@ -243,34 +245,28 @@ def count_chunk(text: str, before: str, after: str) -> list[int]:
         got = min(len(line) + 1, left)
         size[kind] += got
         left -= got
-    if joined_left and own and own[0].strip():
-        filled -= 1
     return [len(text), n_words, chars, len(text) - spaces - chars, filled, ended, common, size[LIST], size[TABLE], size[JUNK]]
 
 
-def count_parts(df: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame:
-    """``(id, counts...)``: a row per chunk, in one pass."""
+def count_rows(df: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame:
+    """``(id, counts...)`` of every row, in one pass."""
     id_type = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pattern = f"(?s).{{1,{chunk}}}(?<=[\r\n])|.{{1,{chunk}}}"
-    cut = F.when(F.length("text") > chunk, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(F.array("text"))
-    parts = rows.select("id", cut.alias("parts")).select("id", "parts", F.posexplode("parts").alias("k", "part"))
-    near = parts.select("id", "part", F.coalesce(F.when(F.col("k") > 0, F.right(F.expr("parts[k - 1]"), F.lit(CONTEXT))), F.lit("")).alias("before"), F.coalesce(F.left(F.expr("get(parts, k + 1)"), F.lit(CONTEXT)), F.lit("")).alias("after"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                got = [count_chunk(*x) for x in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))]
+                got = [count_text(x, chunk) for x in batch.column(1).to_pylist()]
                 cols = list(zip(*got)) if got else [[] for _ in COUNTS]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["id", *COUNTS])
 
-    return near.mapInArrow(run, f"id {id_type}, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    return rows.mapInArrow(run, f"id {id_type}, " + ", ".join(f"{c} bigint" for c in COUNTS))
 
 
 def text_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, chunk: int = CHUNK) -> DataFrame:
     """Counts, ratios and ``kind`` (list, table, junk or null) of every row's text."""
-    summed = count_parts(df, id_col, text_col, chunk).groupBy("id").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    summed = count_rows(df, id_col, text_col, chunk).groupBy("id").agg(*(F.sum(c).alias(c) for c in COUNTS))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     half = lambda c: (F.col("n_chars") >= MIN_CHARS) & (2 * F.col(c) > F.col("n_chars"))
     return summed.select(

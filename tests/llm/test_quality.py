@@ -55,3 +55,13 @@ def test_runs_are_judged_across_chunks(spark):
     whole, cut = kinds(spark, [text], chunk=10**6)[0], kinds(spark, [text], chunk=100)[0]
     assert whole["kind"] == cut["kind"] == "list" and cut["list_chars"] == whole["list_chars"] == len(text)
     assert cut["n_lines"] == whole["n_lines"] and cut["n_ended"] == whole["n_ended"]
+
+
+def test_long_blocks_are_judged_whole(spark):
+    words = ("where a registry records any request the board must confirm this review and the committee of the site will release data " * 60).split()
+    lines = [" ".join(words[i : i + 8]) for i in range(0, len(words), 8)]
+    wrapped = "\n".join(["The board has met on this day to review all of it."] + lines)  # the only sentence end is in the first line
+    one_line = "a,b " + PROSE * 30 + "\n- item\n- other item\n- third\n- fourth\n"
+    whole, cut = kinds(spark, [wrapped, one_line], chunk=10**6), kinds(spark, [wrapped, one_line], chunk=700)
+    assert [[whole[i][c] for c in Q.COUNTS] for i in whole] == [[cut[i][c] for c in Q.COUNTS] for i in whole]
+    assert cut[0]["kind"] is None and cut[0]["list_chars"] == 0
