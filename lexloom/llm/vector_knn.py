@@ -1,21 +1,26 @@
 """The most similar vectors of every vector: additive quantisation with exact reranking.
 
-Fitted on a bounded sample (``SAMPLE`` rows): coarse cells (spherical k-means, two nested levels where
-one would be too coarse for the table) and ``BOOKS`` full-dimensional codebooks, started by residual
-k-means and refined by least squares over beam-search encodings. Every row is encoded by beam search;
-its code, the norm of what the code stands for, and its vector go to its ``SPILL`` best cells. Within a
+Fitted on bounded samples: a tree of coarse cells and ``BOOKS`` full-dimensional codebooks, started by
+residual k-means and refined by least squares over beam-search encodings. The tree grows by spherical k-means
+until no cell is expected to hold more than twice ``CELL_ROWS`` different vectors: the first level, and nodes
+of which it holds enough, are fitted on ``SAMPLE`` rows at the driver, all other nodes each in a task on
+``2 * PER_CELL`` rows a child drawn from its own rows. All centroids together stay within ``MODEL_BYTES``.
+
+Every row is encoded by beam search; its code, the norm of what the code stands for, and its vector go to its
+``SPILL`` best cells, which a beam search down the tree finds. Within a
 cell each row's lookup table (its product with every codeword) scores all other rows by their codes and
 stored norms. The exact cosines of the best ``SHORTLIST`` set a bar, and every row that its code does not
 prove to be under the bar is ranked again by its exact cosine, so within a cell no neighbour is lost. The
 best ``k`` over all cells are a row's neighbours.
 
 Equal vectors form one class that enters a cell once, so any number of copies costs one row; the copies
-of a class are each other's neighbours at cosine 1, in the order of their ids. A cell of more than
-``CELL_MAX`` classes is not handled by one task: its rows are passed on and compared block by block.
+of a class are each other's neighbours at cosine 1, in the order of their ids. A cell that can't be divided
+and is expected to hold more than ``CELL_MAX`` classes is sent as blocks from the start, and each pair of
+blocks is compared in a task of its own: no task holds the cell, and no neighbour is lost.
 
-Edge cases: null, short, non-finite and all-zero vectors never count; lengths don't matter; rows that
-repeat an id are one; equal cosines go to the smaller id; an empty table gives an empty result; other
-columns are ignored.
+Edge cases: null, short, too long, non-finite and all-zero vectors never count; lengths don't matter; rows that
+repeat an id are one (of different vectors of an id one counts); equal cosines go to the smaller id; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +36,14 @@ from lexloom.session import staged
 
 SAMPLE = 20_000
 BOOKS, WORDS, BEAM = 8, 64, 4
+#: Different vectors that a cell should hold; a node with more than twice as many is divided.
 CELL_ROWS, CELL_MAX = 500, 16_384
-#: Cells of one level of k-means; beyond, two nested levels.
-FLAT_CELLS = 2048
+#: Most children of a node, and rows of the sample that a child is fitted on.
+FAN, PER_CELL = 512, 16
+#: Bound on all centroids, which every task gets: 250,000 cells of 64 values.
+MODEL_BYTES = 64 << 20
+#: Nodes of a level that a row's way down the tree may pass, and cells that a query is compared with.
+TREE_BEAM, PROBES = 6, 12
 SPILL = 3
 #: Rows by code whose exact cosines set the bar that all others are held against; it limits no result.
 SHORTLIST = 32
@@ -118,34 +128,85 @@ class AdditiveQuantiser:
         return self.flat[codes.astype(np.int64) + np.arange(BOOKS) * WORDS].sum(1)
 
 
-class Cells:
-    """Coarse cells: one level of centroids, or nested levels whose centroids add up."""
+class Tree:
+    """Coarse cells: a tree of spherical k-means centroids. A leaf is a cell.
 
-    def __init__(self, first: np.ndarray, second: np.ndarray | None):
-        self.first, self.second = first, second
+    ``centres`` holds all nodes but the root; the children of a node follow each other from ``first`` on,
+    ``many`` of them (0: a leaf). ``rows`` is the number of different vectors expected in a node.
+    """
 
-    @classmethod
-    def fit(cls, x: np.ndarray, rows: int, rng: np.random.Generator) -> Cells:
-        want = max(1, -(-rows // CELL_ROWS))
-        if want <= FLAT_CELLS:
-            return cls(_kmeans(x, want, 8, rng, spherical=True), None)
-        k = int(np.ceil(np.sqrt(want)))
-        first = _kmeans(x, k, 8, rng, spherical=True)
-        return cls(first, _kmeans(x - first[np.argmax(x @ first.T, 1)], k, 8, rng))
-
-    def assign(self, x: np.ndarray, spill: int) -> np.ndarray:
-        """The ``spill`` best cells of each row, best first."""
-        near = x @ self.first.T
-        spill = min(spill, near.shape[1])
-        top = np.argpartition(-near, spill - 1, axis=1)[:, :spill]
-        if self.second is None:
-            return top
-        rows, k = np.arange(len(x)), len(self.second)
-        best = []
-        for j in range(spill):  # nearest inner cell within each of the best outer cells
-            rest = x - self.first[top[:, j]]
-            best.append(top[:, j] * k + np.argmax(rest @ self.second.T - 0.5 * (self.second**2).sum(1), 1))
-        return np.stack(best, 1)
+    def __init__(self, centres: np.ndarray, rows: np.ndarray):
+        self.centres, self.rows = centres, rows
+        self.top, self.first, self.many = len(centres), np.zeros(len(centres), np.int64), np.zeros(len(centres), np.int64)
+        self.closed = np.zeros(len(centres), bool)  # not to be divided again
+
+    def too_large(self) -> np.ndarray:
+        """Leaves to be divided, and among how many children, within the bound on all cells."""
+        node = np.flatnonzero((self.many == 0) & ~self.closed & (self.rows > 2 * CELL_ROWS))
+        want = np.minimum(FAN, np.ceil(self.rows[node] / CELL_ROWS)).astype(np.int64)
+        free = MODEL_BYTES // (4 * self.centres.shape[1]) - len(self.centres)
+        if want.sum() > free:
+            want = want * max(0, free) // want.sum()
+        return np.stack((node, want), 1)[want > 1]
+
+    def divide(self, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        """Give leaves ``(node, centres, shares)`` their children; one that can't be parted is left as it is."""
+        self.closed[[node for node, *_ in parts]] = True
+        parts = [p for p in parts if len(p[1]) > 1 and p[2].max() <= 0.95]
+        if not parts:
+            return
+        node, many = np.array([p[0] for p in parts]), np.array([len(p[1]) for p in parts])
+        self.first[node], self.many[node] = len(self.centres) + np.cumsum(many) - many, many
+        rows = np.concatenate([share * self.rows[n] for n, _, share in parts])
+        self.centres, self.rows = np.concatenate([self.centres, *(c for _, c, _ in parts)]), np.concatenate((self.rows, rows))
+        for name in ("first", "many", "closed"):
+            old = getattr(self, name)
+            setattr(self, name, np.concatenate((old, np.zeros(len(rows), old.dtype))))
+
+    def _scores(self, x: np.ndarray, one: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, child and its product with the row, for all children of the given (row, inner node) pairs."""
+        out = []
+        for k in np.unique(self.many[node]).tolist():
+            mine = self.many[node] == k
+            r, at = one[mine], self.first[node[mine]]
+            if k > 16:  # few nodes of many children: one matrix product each
+                by = np.argsort(at, kind="stable")
+                r, at = r[by], at[by]
+                for part in np.split(np.arange(len(r)), np.flatnonzero(np.diff(at)) + 1):
+                    child = at[part[0]] + np.arange(k)
+                    out.append((np.repeat(r[part], k), np.tile(child, len(part)), (x[r[part]] @ self.centres[child].T).ravel()))
+            else:
+                for s in range(0, len(r), 20_000):
+                    child = at[s : s + 20_000, None] + np.arange(k)
+                    own = np.einsum("pd,pkd->pk", x[r[s : s + 20_000]], self.centres[child])
+                    out.append((np.repeat(r[s : s + 20_000], k), child.ravel(), own.ravel()))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def assign(self, x: np.ndarray, spill: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ``(row, cell)``: the ``spill`` best cells of each row, best first, by a beam search down the tree."""
+        near = x @ self.centres[: self.top].T
+        width = min(max(beam, spill), self.top)
+        node = np.argpartition(-near, width - 1, axis=1)[:, :width].astype(np.int64)
+        score = np.take_along_axis(near, node, 1).ravel()
+        one, node = np.repeat(np.arange(len(x)), width), node.ravel()
+        while (inner := self.many[node] > 0).any():
+            r, child, own = self._scores(x, one[inner], node[inner])
+            one, node, score = np.concatenate((one[~inner], r)), np.concatenate((node[~inner], child)), np.concatenate((score[~inner], own))
+            one, node, score = _first(one, node, score, max(beam, spill), 9)
+        one, node, _ = _first(one, node, score, spill, 9)
+        return one, node
+
+    def close(self, spill: int) -> Tree:
+        """Mark the cells that are too large for one task: so many blocks are compared with each other."""
+        self.blocks = np.maximum(1, np.ceil(self.rows * spill / CELL_MAX)).astype(np.int64)
+        return self
+
+
+def _children(x: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of a node's sample, and the share of the sample at each."""
+    c = _kmeans(x, k, 8, np.random.default_rng(seed), spherical=True)
+    size = np.bincount(np.argmax(x @ c.T, 1), minlength=len(c))
+    return c[size > 0], size[size > 0] / len(x)
 
 
 def _best(quant: AdditiveQuantiser, q, vec, code, norm, k: int, floor: np.ndarray, places: int = 9):
@@ -211,130 +272,199 @@ def _neighbours(quant: AdditiveQuantiser, q_key, q_vec, key, vec, code, norm, k:
     return [q_key[one[ok]], key[row[ok]], sim[ok]]
 
 
-ROW = "cell bigint, key bigint, vec binary, code binary, norm float"
+ROW = "part bigint, side int, key bigint, vec binary, code binary, norm float"
+PAIRS = "a bigint, b bigint, cosine double"
 
 
 def _arrays(batch: pa.RecordBatch, dim: int):
-    key = batch.column("key").to_numpy()
+    """Keys, vectors, codes and norms of rows, each key once."""
+    key, first = np.unique(batch.column("key").to_numpy(), return_index=True)
     vec = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.float32).reshape(-1, dim)
     code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(-1, BOOKS)
-    return [key, vec, code, batch.column("norm").to_numpy()]
+    return [key, vec[first], code[first], batch.column("norm").to_numpy()[first]]
 
 
-def _out(cols, hot: pa.RecordBatch | None = None) -> pa.RecordBatch:
-    n = len(cols[0]) if hot is None else hot.num_rows
-    none = lambda t: pa.nulls(n, t)
-    pair = [none(pa.int64()), none(pa.int64()), none(pa.float64())] if hot is not None else [pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.float64))]
-    rest = list(hot.columns[:5]) if hot is not None else [none(t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float32())]
-    return pa.RecordBatch.from_arrays([*pair, *rest], names=["a", "b", "cosine", "cell", "key", "vec", "code", "norm"])
+def _out(cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.float64))], names=["a", "b", "cosine"])
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], by: list[str], most: int) -> Iterator[tuple[pa.RecordBatch, bool]]:
-    """Groups of a stream sorted by ``by``; of a group over ``most`` rows, its parts, marked True."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of a stream sorted by part."""
     held: list[pa.RecordBatch] = []
-    size, last, large = 0, None, False
-
-    def flush():
-        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(c).to_numpy() for c in by]
-        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-        for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-            own = tuple(c[s] for c in cols)
-            if own != last:
-                if held:
-                    yield flush(), large
-                held, size, last, large = [], 0, own, False
-            held.append(batch.slice(s, e - s))
-            size += e - s
-            if size > most:
-                yield flush(), True
-                held, size, large = [], 0, True
-                size = most  # what follows of this group is passed on as it comes
+        part = batch.column("part").to_numpy()
+        if held and len(part) and part[0] != held[-1].column("part")[0].as_py():
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            if s and held:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            if e > s:
+                held.append(batch.slice(s, e - s))
     if held:
-        yield flush(), large
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-SOUND = "id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = float('infinity')) and exists(v, x -> x <> 0)"
+def _fixed(a: np.ndarray, width: int) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(a), [None, pa.py_buffer(np.ascontiguousarray(a).tobytes())]).cast(pa.binary())
 
 
-def _fit(rows: DataFrame, dim: int | None, seed: int):
-    """Usable rows ``(id, v, key)``, their length, and what is fitted on the bounded sample."""
-    n_rows = max(1, rows.count())
-    part = min(1.0, 1.2 * SAMPLE / n_rows)
-    drawn = rows.where(SOUND).where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) <= int(part * (1 << 20))).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
-    dim = dim or max(map(len, drawn), default=1)
-    rng = np.random.default_rng(seed)
-    sample = _unit(np.array([v for v in drawn if len(v) == dim] or [[1.0] * dim], np.float32).reshape(-1, dim))
-    cells, quant = Cells.fit(sample, n_rows, rng), AdditiveQuantiser.fit(sample, rng)
-    return rows.where(F.size("v") == dim).where(SOUND).withColumn("key", F.xxhash64("v")), dim, cells, quant
+def _parts(cell: np.ndarray, key: np.ndarray, blocks: np.ndarray, asked: bool | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat ``(place, part, side)``: where the (cell, key) pairs at each place must go.
 
+    A cell of one block is one part. Of a cell of n blocks, a row to be compared with all others (``asked``
+    None) goes to the n pairs of blocks that hold its own; of stated queries (True) each goes to all blocks,
+    of rows to be searched (False) each to its own block.
+    """
+    n = blocks[cell]
+    block = (key.view(np.uint64) >> np.uint64(20)).astype(np.int64) % n
+    times = np.ones_like(n) if asked is False else n
+    at = np.repeat(np.arange(len(cell)), times)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    own = block[at]
+    if asked is None:
+        left, right, side = np.minimum(own, other), np.maximum(own, other), (own > other).astype(np.int32)
+    else:
+        left = right = own if asked is False else other
+        side = np.full(len(at), 0 if asked else 1, np.int32)
+    return at, (cell[at] << np.int64(40)) | (left << np.int64(20)) | right, side
 
-def similar_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", *, k: int = 5, least: float | None = None, dim: int | None = None, spill: int = SPILL, seed: int = 7) -> DataFrame:
-    """``(id, neighbour, cosine, rank)``: up to ``k`` most similar others of every usable row.
 
-    ``least`` leaves out neighbours of a smaller cosine. ``dim`` is the length of a usable vector, by
-    default the longest in the sample.
-    """
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
-    usable, dim, cells, quant = _fit(rows, dim, seed)
-    model = df.sparkSession.sparkContext.broadcast((cells, quant))  # a bounded size: cells and codebooks only
+SOUND = "id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = float('infinity')) and exists(v, x -> x <> 0)"
+
+
+def _fit(rows: DataFrame, dim: int | None, seed: int, spill: int):
+    """Usable rows ``(key, id, v)``, their length, and what is fitted on samples of them."""
+    sound = rows.where(SOUND).withColumn("key", F.xxhash64("v"))
+    if dim is not None:
+        sound = sound.where(F.size("v") == dim)
+    most = sound.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("rows"), F.approx_count_distinct("key").alias("n")).orderBy(F.desc("rows"), F.desc("d")).first()
+    dim, n = (most["d"], max(1, most["n"])) if most else (dim or 1, 1)
+    usable = sound.where(F.size("v") == dim).select("key", "id", "v")
+
+    def drawn(share: float, salt: int) -> DataFrame:
+        """Different vectors with a hash in the first ``share`` of all, with their place in hash order."""
+        place = F.pmod(F.xxhash64(F.lit(seed + salt), "key"), F.lit(1 << 30))
+        return usable.withColumn("place", place).where(F.col("place") < int(min(1.0, share) * (1 << 30))).select("place", "key", "v").dropDuplicates(["key"])
+
+    got = drawn(1.2 * SAMPLE / n, 0).orderBy("place", "key").limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
+    rng = np.random.default_rng(seed)
+    sample = _unit(np.array(got or [[1.0] * dim], np.float32).reshape(-1, dim))
+    centres, share = _children(sample, min(FAN, max(1, round(n / CELL_ROWS))), seed)
+    tree = Tree(centres, share * n)
+    level = 0
+    while len(todo := tree.too_large()):
+        level += 1
+        one, node = tree.assign(sample, 1, 1)
+        one = one[np.argsort(node, kind="stable")]
+        node = np.sort(node)
+        parts, thin = [], {}
+        for at, k in todo.tolist():
+            mine = sample[one[np.searchsorted(node, at) : np.searchsorted(node, at, "right")]]
+            if len(mine) >= PER_CELL * k:
+                parts.append((at, *_children(mine, k, seed + level)))
+            else:
+                thin[at] = k
+        if thin:
+            parts += _fit_apart(drawn(2 * PER_CELL / CELL_ROWS, level), tree, thin, dim, seed + level)
+            tree.closed[list(thin)] = True
+        tree.divide(parts)
+    return usable, dim, tree.close(spill), AdditiveQuantiser.fit(sample, rng)
+
+
+def _fit_apart(rows: DataFrame, tree: Tree, wanted: dict[int, int], dim: int, seed: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Children of the nodes ``wanted`` (node: how many), each fitted in a task of its own on at most
+    ``2 * PER_CELL`` rows a child. What comes back is centroids, within ``MODEL_BYTES`` together."""
+    spark = rows.sparkSession
+    held = spark.sparkContext.broadcast((tree, wanted))
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, wanted = held.value
+        asked = np.zeros(len(tree.centres), bool)
+        asked[list(wanted)] = True
+        for whole in batches:
+            for s in range(0, whole.num_rows, 4000):
+                batch = whole.slice(s, 4000)
+                vec = _unit(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+                one, node = tree.assign(vec, 1, 1)
+                ok = asked[node]
+                one, node = one[ok], node[ok]
+                most = np.array([2 * PER_CELL * wanted[x] for x in node.tolist()], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(most), batch.column("place").take(pa.array(one)), _fixed(vec[one], 4 * dim)], names=["node", "most", "place", "vec"])
+
+    def fit(pdf):
+        import pandas as pd
+
+        node = int(pdf["node"].iloc[0])
+        x = np.frombuffer(b"".join(pdf.sort_values(["place", "vec"])["vec"]), np.float32).reshape(-1, dim)
+        c, share = _children(x, min(held.value[1][node], max(1, len(x) // 4)), seed)
+        return pd.DataFrame({"node": node, "centre": [r.tobytes() for r in c], "share": share})
+
+    order = Window.partitionBy("node").orderBy("place", "vec")
+    few = rows.mapInArrow(down, "node bigint, most int, place bigint, vec binary").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= 2 * PER_CELL * FAN).where("nth <= most")
+    got = few.select("node", "place", "vec").groupBy("node").applyInPandas(fit, "node bigint, centre binary, share double").toArrow()
+    node, share = got.column("node").to_numpy(), got.column("share").to_numpy()
+    c = np.frombuffer(b"".join(got.column("centre").to_pylist()), np.float32).reshape(-1, dim)
+    return [(int(x), c[node == x], share[node == x]) for x in np.unique(node)]
+
+
+def _placed(rows: DataFrame, model, dim: int, spill: int, beam: int, asked: bool | None) -> DataFrame:
+    """``ROW`` of the rows ``(key, v)`` in their ``spill`` best cells."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, quant = model.value
+        tree, quant = model.value
         for whole in batches:
             for at in range(0, whole.num_rows, 4000):
                 batch = whole.slice(at, 4000)
                 key, first = np.unique(batch.column(0).to_numpy(), return_index=True)
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                vec = _unit(flat.reshape(-1, dim)[first])
-                code = quant.encode(vec)
+                vec = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)[first])
+                code = np.zeros((len(vec), BOOKS), np.uint8) if asked else quant.encode(vec)  # queries are compared by their vectors
                 norm = np.maximum(np.linalg.norm(quant.decode(code), axis=1), 1e-6).astype(np.float32)
-                where = cells.assign(vec, spill)
-                r = where.shape[1]
-                each = np.repeat(np.arange(len(key)), r)
-                fixed = lambda a, w: pa.FixedSizeBinaryArray.from_buffers(pa.binary(w), len(a), [None, pa.py_buffer(np.ascontiguousarray(a).tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(where.ravel().astype(np.int64)), pa.array(key[each]), fixed(vec[each], 4 * dim), fixed(code[each], BOOKS), pa.array(norm[each])], names=["cell", "key", "vec", "code", "norm"])
+                one, cell = tree.assign(vec, spill, beam)
+                each, part, side = _parts(cell, key[one], tree.blocks, asked)
+                each = one[each]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(side), pa.array(key[each]), _fixed(vec[each], 4 * dim), _fixed(code[each], BOOKS), pa.array(norm[each])], names=["part", "side", "key", "vec", "code", "norm"])
+
+    return rows.select("key", "v").mapInArrow(place, ROW)
+
+
+def _members(usable: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, key)`` of every id, and of each class of equal vectors its ``k + 1`` smallest ids."""
+    members = usable.groupBy("id").agg(F.min("key").alias("key"))
+    first = members.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("n") <= k + 1)
+    return members, first.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+
+def similar_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", *, k: int = 5, least: float | None = None, dim: int | None = None, spill: int = SPILL, beam: int = TREE_BEAM, seed: int = 7) -> DataFrame:
+    """``(id, neighbour, cosine, rank)``: up to ``k`` most similar others of every usable row.
+
+    ``least`` leaves out neighbours of a smaller cosine. ``dim`` is the length of a usable vector, by
+    default the most frequent one.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    usable, dim, tree, quant = _fit(rows, dim, seed, spill)
+    model = df.sparkSession.sparkContext.broadcast((tree, quant))  # at most MODEL_BYTES and the codebooks
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, quant = model.value
-        for group, large in _grouped(batches, ["cell"], CELL_MAX):
-            if large:
-                yield _out(None, group)
-                continue
-            key, vec, code, norm = _arrays(group, dim)
-            key, first = np.unique(key, return_index=True)
-            vec, code, norm = vec[first], code[first], norm[first]
-            if found := _neighbours(quant, key, vec, key, vec, code, norm, k, least):
-                yield _out(found)
-
-    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, quant = model.value
-        for group, _ in _grouped(batches, ["cell", "left", "right"], 1 << 62):
+        for group in _groups(batches):
             side = group.column("side").to_numpy()
-            x = _arrays(group.filter(pa.array(side != 1)), dim)
-            y = x if group.column("left")[0] == group.column("right")[0] else _arrays(group.filter(pa.array(side == 1)), dim)
-            for q, c in ((x, y), (y, x))[: 1 if x is y else 2]:
-                key, first = np.unique(c[0], return_index=True)
-                if len(q[0]) and len(key) > 1 and (found := _neighbours(quant, q[0], q[1], key, c[1][first], c[2][first], c[3][first], k, least)):
+            x = _arrays(group.filter(pa.array(side == 0)), dim)
+            y = _arrays(group.filter(pa.array(side == 1)), dim) if side.any() else x
+            part = group.column("part")[0].as_py()
+            own = (part >> 20) % (1 << 20) == part % (1 << 20)  # one block with itself
+            for q, c in ((x, x),) if own else ((x, y), (y, x)):
+                if len(q[0]) and (found := _neighbours(quant, q[0], q[1], *c, k, least)):
                     yield _out(found)
 
-    out = f"a bigint, b bigint, cosine double, {ROW}"
-    walked = usable.select("key", "v").mapInArrow(place, ROW).repartition("cell").sortWithinPartitions("cell").mapInArrow(within, out)
+    walked = _placed(usable, model, dim, spill, beam, None).repartition("part").sortWithinPartitions("part").mapInArrow(within, PAIRS)
     walked = staged(walked, "cells")
-    hot = walked.where("cell is not null").select("cell", "key", "vec", "code", "norm").dropDuplicates(["cell", "key"])
-    blocks = hot.groupBy("cell").count().select("cell", F.ceil(F.col("count") / (CELL_MAX // 4)).cast("int").alias("n_blocks"))
-    spread = hot.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    spread = spread.select("cell", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), (F.col("block") > F.col("other")).cast("int").alias("side"), "key", "vec", "code", "norm")
-    crossed = spread.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right").mapInArrow(between, out)
-    near = walked.where("cell is null").select("a", "b", "cosine").union(crossed.select("a", "b", "cosine")).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    near = walked.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("rank") <= k)
     # From classes of equal vectors back to ids: of each class the k + 1 smallest ids are enough.
-    members = usable.select("key", "id").distinct()
-    few = members.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("n") <= k + 1).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    members, few = _members(usable, k)
     others = near.join(few.select(F.col("key").alias("b"), "ids"), "b").groupBy(F.col("a").alias("key")).agg(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("cosine")).alias("minus"), i.alias("id"))))).alias("others"))
     own = few.select("key", F.transform("ids", lambda i: F.struct(F.lit(-1.0).alias("minus"), i.alias("id"))).alias("own"))
     held = own.where(F.size("own") > 1).join(others, "key", "full_outer").select("key", F.concat(F.coalesce("own", F.array().cast(own.schema["own"].dataType)), F.coalesce("others", F.array().cast(own.schema["own"].dataType))).alias("all"))
@@ -342,65 +472,33 @@ def similar_vectors(df: DataFrame, id_col: str = "id", vector_col: str = "embedd
     return best.select("id", F.posexplode("best").alias("pos", "x")).select("id", F.col("x.id").alias("neighbour"), (-F.col("x.minus")).alias("cosine"), (F.col("pos") + 1).alias("rank"))
 
 
-QUERY_BLOCK = 4096
-
-
-def search_vectors(df: DataFrame, queries: DataFrame, id_col: str = "id", vector_col: str = "embedding", *, k: int = 5, dim: int | None = None, seed: int = 7) -> DataFrame:
+def search_vectors(df: DataFrame, queries: DataFrame, id_col: str = "id", vector_col: str = "embedding", *, k: int = 5, dim: int | None = None, probes: int = PROBES, seed: int = 7) -> DataFrame:
     """``(query_id, neighbour, cosine, rank)``: the ``k`` most similar rows of every query vector.
 
-    ``queries(query_id, embedding)`` is a stated set, compared with all rows in blocks of ``QUERY_BLOCK``
-    queries: every row is scored by its code and stored norm, all rows not proven to be further than the
-    best ``k`` are ranked again exactly, and a task keeps the best ``k`` of what it has seen. A row with the
-    query's own id never counts. Unusable rows and queries are left out; ties go to the smaller id.
+    ``queries(query_id, embedding)`` is a stated set of any size. Rows lie in their best cell of the same
+    index; a query is compared with the rows of its ``probes`` best cells by their codes and stored norms,
+    and with all not proven to be further than the best ``k`` exactly. A row with the query's own id never
+    counts. Unusable rows and queries are left out; ties go to the smaller id.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
-    usable, dim, _, quant = _fit(rows, dim, seed)
-    indexed = usable.select("id", "v").dropDuplicates(["id"])
-    asked = queries.select(F.col("query_id").alias("id"), F.col("embedding").cast("array<float>").alias("v")).where(F.size("v") == dim).where(SOUND).dropDuplicates(["id"])
-    asked = staged(asked, "asked")
-    spark, id_type = df.sparkSession, rows.schema["id"].dataType.simpleString()
-    q_type = asked.schema["id"].dataType.simpleString()
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    parts = []
-    for b in range(n_blocks):
-        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).toArrow()
-        if not own.num_rows:
-            continue
-        vec = _unit(own.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim))
-        block = spark.sparkContext.broadcast((quant, own.column("id").to_pylist(), vec))
-
-        def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            quant, ids, q = block.value
-            own = np.array(ids, object)
-            held = [np.empty(0, np.int64), np.empty(0, object), np.empty(0, np.float32)]
-            floor = np.full(len(ids), -2.0)
-            for whole in batches:
-                for at in range(0, whole.num_rows, 4000):
-                    batch = whole.slice(at, 4000)
-                    key = np.array(batch.column(0).to_pylist(), object)
-                    by = np.argsort(key, kind="stable")
-                    key, x = key[by], _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))[by]
-                    code = quant.encode(x)
-                    norm = np.maximum(np.linalg.norm(quant.decode(code), axis=1), 1e-6)
-                    one, row, sim = _best(quant, q, x, code, norm, k + 1, floor, 6)  # one more, as it may be itself
-                    ok = key[row] != own[one]
-                    one, name, sim = (np.concatenate(c) for c in zip(held, (one[ok], key[row[ok]], sim[ok])))
-                    if not len(one):
-                        continue
-                    names, place = np.unique(name, return_inverse=True)
-                    one, place, sim = _first(one, place, sim, k, 6)
-                    held = [one, names[place], sim]
-                    last = np.flatnonzero(np.bincount(one, minlength=len(ids)) == k)
-                    floor[last] = sim[np.searchsorted(one, last, "right") - 1]
-            one, name, sim = held
-            yield pa.RecordBatch.from_arrays([pa.array(own[one].tolist(), pa.array(ids).type), pa.array(name.tolist(), whole_type), pa.array(sim.astype(np.float64))], names=["query_id", "neighbour", "cosine"])
-
-        whole_type = pa.string() if id_type == "string" else pa.int64() if id_type == "bigint" else pa.int32()
-        parts.append(indexed.select("id", "v").mapInArrow(scan, f"query_id {q_type}, neighbour {id_type}, cosine double"))
-    if not parts:
-        parts = [asked.limit(0).select(F.col("id").alias("query_id"), F.lit(None).cast(id_type).alias("neighbour"), F.lit(0.0).alias("cosine"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    usable, dim, tree, quant = _fit(rows, dim, seed, 1)
+    asked = queries.select(F.col("query_id"), F.col("embedding").cast("array<float>").alias("v")).where(SOUND.replace("id is not null", "query_id is not null")).where(F.size("v") == dim).withColumn("key", F.xxhash64("v"))
+    model = df.sparkSession.sparkContext.broadcast((tree, quant))  # at most MODEL_BYTES and the codebooks
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, quant = model.value
+        for group in _groups(batches):
+            side = group.column("side").to_numpy()
+            q, c = (_arrays(group.filter(pa.array(side == s)), dim) for s in (0, 1))
+            if len(q[0]) and len(c[0]):
+                one, row, sim = _best(quant, q[1], *c[1:], k + 1, np.full(len(q[0]), -2.0))
+                yield _out([q[0][one], c[0][row], sim])
+
+    both = _placed(usable, model, dim, 1, TREE_BEAM, False).union(_placed(asked, model, dim, probes, 2 * probes, True))
+    found = both.repartition("part").sortWithinPartitions("part").mapInArrow(within, PAIRS)
+    # The query's own class may be the first of k + 1, and of each class k + 1 ids are enough.
+    near = found.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("n") <= k + 1)
+    named = near.join(_members(usable, k)[1].select(F.col("key").alias("b"), F.explode("ids").alias("neighbour")), "b").select(F.col("a").alias("key"), "neighbour", "cosine")
+    own = asked.groupBy("query_id").agg(F.min("key").alias("key"))
     order = Window.partitionBy("query_id").orderBy(F.round("cosine", 6).desc(), "neighbour")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return own.join(named, "key").where("neighbour <> query_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "neighbour", "cosine", "rank")

@@ -133,3 +133,59 @@ def test_all_neighbours_of_the_tables(spark):
     fifth = -np.sort(-s, 1)[:, 4]
     assert set(near) == set(ids)
     assert np.mean([sum(c >= t - 2e-6 for c in near[i]) / 5 for i, t in zip(ids, fifth)]) >= 0.9
+
+
+def test_several_levels(spark, monkeypatch):
+    """A tree of three levels, inner nodes fitted on their own rows: recall stays, no cell is large."""
+    rows = clustered(3000)
+    want = {(a, b) for a, near in brute(rows).items() for b, s in near if s >= 0.9}
+    for name, value in {"FAN": 6, "CELL_ROWS": 30, "SAMPLE": 400}.items():
+        monkeypatch.setattr(V, name, value)
+    trees, fit_apart, apart = [], V._fit_apart, []
+    monkeypatch.setattr(V.Tree, "close", lambda self, spill, close=V.Tree.close: trees.append(self) or close(self, spill))
+    monkeypatch.setattr(V, "_fit_apart", lambda *a: apart.append(len(a[2])) or fit_apart(*a))
+    got = {(r["id"], r["neighbour"]) for r in V.similar_vectors(frame(spark, rows), k=5, least=0.9).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+    tree = trees[0]
+    depth = np.zeros(len(tree.centres), int)
+    for node in range(len(depth)):
+        depth[tree.first[node] : tree.first[node] + tree.many[node]] = depth[node] + 1
+    leaf = tree.many == 0
+    assert depth.max() >= 2 and apart and (tree.rows[leaf] ** 2).sum() / tree.rows[leaf].sum() < 2 * V.CELL_ROWS
+    asked = frame(spark, rows[::20]).selectExpr("id as query_id", "embedding")
+    got = {}
+    for r in V.search_vectors(frame(spark, rows), asked).collect():
+        got.setdefault(r["query_id"], set()).add(r["neighbour"])
+    exact = brute(rows)
+    assert len(got) == 150 and np.mean([len(got[q] & {b for b, _ in exact[q]}) / 5 for q in got]) >= 0.9
+
+
+def test_all_centroids_stay_within_their_bound(spark, monkeypatch):
+    monkeypatch.setattr(V, "MODEL_BYTES", 4 * 16 * 20)
+    monkeypatch.setattr(V, "CELL_ROWS", 10)
+    monkeypatch.setattr(V, "FAN", 8)
+    monkeypatch.setattr(V, "CELL_MAX", 100)
+    rows = clustered(1000)
+    _, dim, tree, _ = V._fit(frame(spark, rows).selectExpr("id", "embedding as v"), None, 7, 3)
+    assert dim == 16 and len(tree.centres) <= 20 and tree.blocks[tree.many == 0].max() > 1
+    want = {(a, b) for a, near in brute(rows).items() for b, s in near if s >= 0.9}
+    got = {(r["id"], r["neighbour"]) for r in V.similar_vectors(frame(spark, rows), k=5, least=0.9).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_vectors_of_another_length_change_nothing(spark):
+    rows = clustered(200)
+    odd = [*rows, ("long", [1.0] * 17), ("longer", [1.0] * 40), ("short", [1.0])]
+    one, two = ({tuple(r) for r in V.similar_vectors(frame(spark, x)).select("id", "neighbour", "rank").collect()} for x in (rows, odd))
+    assert one and one == two
+
+
+def test_copies_unusable_and_blocks_in_search(spark, monkeypatch):
+    monkeypatch.setattr(V, "CELL_MAX", 40)
+    one = [1.0] + [0.0] * 15
+    rows = [*clustered(150), *((f"c{i}", one) for i in range(9)), ("n", None), (None, one)]
+    asked = spark.createDataFrame([("c3", one), ("c3", one), ("new", one), ("bad", [0.0] * 16), (None, one)], "query_id string, embedding array<float>")
+    got = {}
+    for r in V.search_vectors(frame(spark, rows), asked, k=4, probes=30).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["neighbour"])
+    assert got == {"c3": ["c0", "c1", "c2", "c4"], "new": ["c0", "c1", "c2", "c3"]}
