@@ -2,20 +2,26 @@
 
 A record is the set of its distinct triples of consecutive words (``width`` words in general). Records
 with the same word sequence form one class and are handled once, so any number of copies costs one
-entry. Each class gets ``trees`` paths of three 8-bit MinHash coordinates. A tree is the sorted list of
-paths; classes that share a prefix of one fixed depth are candidates: the longest at which the recall
-expected at the similarity threshold, 1 - (1 - t^depth)^trees, reaches ``recall``. With the defaults, and
-for both registered queries, that is the full path, so this is banding of 32 bands by 3 rows: prefixes
-are not shortened node by node. A pair exactly at 0.5 shares no band in 1.4 % of cases and is lost then.
+entry. Each class gets ``TREES * STRIDE`` MinHash coordinates of 16 bits, set in a ring. Tree number i is the
+sorted list of paths of ``COORDS`` coordinates from place i * ``STRIDE`` of that ring on: up to depth ``STRIDE``
+the trees share no coordinate. Classes that share a prefix of a path are candidates, and how long that prefix
+must be is decided node by node, from the longest on:
+
+* A prefix is shortened at least to the depth at which the recall expected at the similarity threshold reaches
+  ``recall``: with the defaults of the registered queries (0.5, 0.98) to 3 of 8 coordinates, at a threshold of
+  0.8 to 7. So every node of that depth is compared in full, however large it is.
+* It is shortened by one more coordinate where the shorter node holds at most ``SMALL`` classes, which raises the
+  recall further, as long as chance would give a class less than one partner at that depth (n * TREES <= 2^(16 depth)).
+
+A node expected, by a sample, to hold more than ``node_rows`` classes is not sent to one task: its rows go out as
+blocks from the start, and each pair of blocks is compared in a task of its own. Wide nodes that are to be shortened
+are sent by the longer prefix instead.
 
 Within a node only those pairs go on whose 64-bit sketches (one further bit of 64 coordinates) agree
-in ``SKETCH_AGREE`` bits at least, then those whose paths agree in enough coordinates; both bounds lie
-three standard deviations below what a pair at the threshold shows. What is left is verified exactly
+in ``SKETCH_AGREE`` bits at least, then those that agree in enough coordinates; both bounds lie at least
+``SIGMAS`` standard deviations below what a pair at the threshold shows. What is left is verified exactly
 on the texts, which are read again for the candidates only.
 
-Nodes are read as a sorted stream. A node of more than ``NODE_ROWS`` rows is passed on instead and its
-pairs are spread over tasks in blocks, so no task holds an unbounded node.
-
 Edge cases: rows with a null id are left out; rows that repeat an id are one record; null, empty and short texts have no partners;
 records with equal word sequences are copies of similarity 1; an empty table gives empty results;
 other columns are ignored.
@@ -35,28 +41,41 @@ from pyspark.sql import functions as F
 from lexloom.operators.graph import connected_components
 from lexloom.session import staged
 
-TREES, COORDS = 32, 3
+#: Trees, coordinates between the beginnings of two trees' paths, and the length of a path.
+TREES, STRIDE, COORDS = 32, 3, 8
+RING = TREES * STRIDE
 #: Rows of a forest node that one task compares.
 NODE_ROWS = 4096
+#: Classes of a node up to which its prefix is shortened beyond what the recall asks for.
+SMALL = 16
+#: Classes of the sample that large nodes are found in, and rows of it that tell a large node from chance.
+SAMPLE, SURE = 1 << 16, 12
 #: Of 64 sketch bits; a pair at similarity 0.5 agrees in 48 with a standard deviation of 3.5.
-SKETCH_AGREE = 38
+SKETCH_AGREE = 36
+SIGMAS = 3.4
 #: Bits of the fixed-size filter that spares reading texts of records without candidates.
 FILTER_BITS = 1 << 24
-#: None: the pair list names all pairs at every size. If a caller sets a number, classes of more copies
-#: name each copy beside the smallest id only, which also leaves out pairs of texts that differ in case or punctuation.
-ALL_COPIES: int | None = None
 #: Copies of one class that one task pairs with as many others.
 COPY_ROWS = 1000
 
 WORD = re.compile(r"[^\W_]+")
 
 
-def depth_for(threshold: float, recall: float, trees: int = TREES) -> int:
+def expected_recall(threshold: float, depth: int) -> float:
+    """Chance that a pair of that similarity shares a prefix of that depth in some tree."""
+    if depth <= STRIDE:
+        return 1 - (1 - threshold**depth) ** TREES
+    # beyond, trees share coordinates: by drawing
+    agree = np.random.default_rng(1).random((20_000, RING)) < threshold
+    hit = np.ones((len(agree), TREES), bool)
+    for level in range(depth):
+        hit &= agree[:, (np.arange(TREES) * STRIDE + level) % RING]
+    return float(hit.any(1).mean())
+
+
+def depth_for(threshold: float, recall: float) -> int:
     """Longest prefix that still gives the recall at the threshold (1 at least)."""
-    for depth in range(COORDS, 1, -1):
-        if 1 - (1 - threshold**depth) ** trees >= recall:
-            return depth
-    return 1
+    return next((d for d in range(COORDS, 1, -1) if expected_recall(threshold, d) >= recall), 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -107,15 +126,14 @@ class Shingler:
 
 
 def _signatures(window: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Paths (24 bits in an int) of each text by tree, and the 64-bit sketches."""
+    """The ring of 16-bit coordinates of each text, and its 64-bit sketch."""
     rng = np.random.default_rng(11)
-    n = TREES * COORDS
-    a = rng.integers(1, 2**32, n, np.uint64).astype(np.uint32) | np.uint32(1)
-    b = rng.integers(0, 2**32, n, np.uint64).astype(np.uint32)
+    a = rng.integers(1, 2**32, RING, np.uint64).astype(np.uint32) | np.uint32(1)
+    b = rng.integers(0, 2**32, RING, np.uint64).astype(np.uint32)
     low, high = window.astype(np.uint32), (window >> np.uint64(32)).astype(np.uint32)
-    paths = np.zeros((len(starts), TREES), np.int32)
+    ring = np.zeros((len(starts), RING), np.uint16)
     sketch = np.zeros(len(starts), np.uint64)
-    for k in range(n):
+    for k in range(RING):
         v = low * a[k] + (high ^ b[k])
         v ^= v >> np.uint32(15)
         v *= np.uint32(0x2C1B3C6D)
@@ -124,15 +142,15 @@ def _signatures(window: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
         least = (least ^ (least >> np.uint32(16))) * np.uint32(0x7FEB352D)
         least = (least ^ (least >> np.uint32(15))) * np.uint32(0x846CA68B)
         least ^= least >> np.uint32(16)
-        tree, level = divmod(k, COORDS)
-        paths[:, tree] |= ((least & np.uint32(255)).astype(np.int32)) << (8 * (COORDS - 1 - level))
+        ring[:, k] = least & np.uint32(0xFFFF)
         if k < 64:
-            sketch |= ((least >> np.uint32(8)) & np.uint32(1)).astype(np.uint64) << np.uint64(k)
-    return paths, sketch.astype(np.int64)
+            sketch |= ((least >> np.uint32(16)) & np.uint32(1)).astype(np.uint64) << np.uint64(k)
+    return ring, sketch.astype(np.int64)
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int, min_words: int) -> DataFrame:
-    """``(id, class, n_words, paths, sketch)`` of every row long enough; one pass, no shuffle."""
+    """``(id, class, n_words, ring, sketch)`` of every row long enough; one pass, no shuffle. ``ring`` holds
+    four coordinates in each bigint."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,134 +164,166 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, min_words:
                 which, starts, window = shingle(texts)
                 if not len(which):
                     continue
-                paths, sketch = _signatures(window, starts)
+                ring, sketch = _signatures(window, starts)
                 sizes = np.diff(np.append(starts, len(window))) + width - 1
                 own = [xxhash.xxh3_64_intdigest("\x1f".join(WORD.findall(texts[i].lower()))) for i in which.tolist()]
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(paths.ravel()), TREES).cast(pa.list_(pa.int32()))
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(ring.view(np.int64).ravel()), RING // 4).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(which)), pa.array(np.array(own, np.uint64).astype(np.int64)), pa.array(sizes.astype(np.int32)), flat, pa.array(sketch)],
-                    names=["id", "class", "n_words", "paths", "sketch"],
+                    names=["id", "class", "n_words", "ring", "sketch"],
                 )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {id_type}, class bigint, n_words int, paths array<int>, sketch bigint")
+    return df.select(id_col, text_col).mapInArrow(run, f"id {id_type}, class bigint, n_words int, ring array<bigint>, sketch bigint")
+
+
+def _nodes(batch: pa.RecordBatch, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (n, TREES) of the nodes at ``depth`` and one above it, from the column ``ring``."""
+    ring = np.ascontiguousarray(batch.column("ring").flatten().to_numpy()).view(np.uint16).reshape(-1, RING)
+    tree = np.arange(TREES)
+    node = above = np.broadcast_to((tree + 1).astype(np.uint64), (len(ring), TREES))
+    for level in range(depth):
+        above, node = node, _mix(node * np.uint64(0x9E3779B97F4A7C15) + ring[:, (tree * STRIDE + level) % RING] + np.uint64(1))
+    return node.view(np.int64), _mix(above + np.uint64(0x5851F42D4C957F2D)).view(np.int64)  # apart from ids of the lower level
 
 
 def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= 64 - SKETCH_AGREE
 
 
-def _node_pairs(cls: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    left, right = np.triu_indices(len(cls), 1)
-    ok = _close(sketch[left], sketch[right])
-    return cls[left[ok]], cls[right[ok]]
-
+def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-def _batch(a, b, node=None, sketch=None) -> pa.RecordBatch:
-    n = len(a)
-    lo, hi = (np.minimum(a, b), np.maximum(a, b)) if node is None else (a, b)
-    none = pa.nulls(n, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(lo), none if node is not None else pa.array(hi), pa.array(node) if node is not None else none, pa.array(sketch) if sketch is not None else none], names=["a", "b", "node", "sketch"])
 
+LEFT, RIGHT = -1, -2  # in the place of a node: sides of two blocks of one node
 
-def _walk_nodes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs ``(a, b)`` of a stream sorted by node; rows of nodes over ``most`` rows come out as they are."""
-    held_n = held_c = held_s = None
-    large = None
-    for batch in batches:
-        node, cls, sketch = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        sketch = sketch.view(np.uint64)
-        if held_n is not None:
-            node, cls, sketch = np.concatenate((held_n, node)), np.concatenate((held_c, cls)), np.concatenate((held_s, sketch))
-            held_n = None
-        if not len(node):
-            continue
-        cuts = np.flatnonzero(node[1:] != node[:-1]) + 1
-        edges = np.concatenate(([0], cuts, [len(node)]))
-        last = edges[-2]
-        yield from _whole_nodes(node[:last], cls[:last], sketch[:last], edges[:-1], large, most)
-        if last:
-            large = None
-        rest = len(node) - last
-        if rest > most or (large is not None and node[-1] == large):
-            large = node[-1]
-            yield _batch(cls[last:], None, node[last:], sketch[last:].view(np.int64))
-        else:
-            held_n, held_c, held_s = node[last:], cls[last:], sketch[last:]
-    if held_n is not None:
-        yield from _whole_nodes(held_n, held_c, held_s, np.array([0, len(held_n)]), large, most)
-
-
-def _whole_nodes(node, cls, sketch, edges, large, most) -> Iterator[pa.RecordBatch]:
-    """Pairs of complete nodes. Nodes of two rows, by far the most, go through one vectorised step."""
-    if len(edges) < 2:
-        return
-    size = np.diff(edges)
-    two = edges[:-1][size == 2]
-    if len(two):
-        ok = _close(sketch[two], sketch[two + 1])
-        if ok.any():
-            yield _batch(cls[two[ok]], cls[two[ok] + 1])
-    got_a, got_b = [], []
-    for k in np.flatnonzero((size > 2) | (node[edges[:-1]] == large if large is not None else False)).tolist():
-        s, e = edges[k], edges[k + 1]
-        if e - s > most or (large is not None and node[s] == large):
-            yield _batch(cls[s:e], None, node[s:e], sketch[s:e].view(np.int64))
-            continue
-        a, b = _node_pairs(cls[s:e], sketch[s:e])
-        got_a.append(a)
-        got_b.append(b)
-    if got_a:
-        yield _batch(np.concatenate(got_a), np.concatenate(got_b))
 
+def _within(start: np.ndarray, size: np.ndarray, cls: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Close pairs within each of the groups that begin at ``start``."""
+    for k in np.unique(size[(size > 1) & (size <= 64)]).tolist():
+        left, right = np.triu_indices(k, 1)
+        own = start[size == k]
+        step = max(1, 1_000_000 // len(left))
+        for s in range(0, len(own), step):
+            x, y = (own[s : s + step, None] + left).ravel(), (own[s : s + step, None] + right).ravel()
+            ok = _close(sketch[x], sketch[y])
+            if ok.any():
+                yield _batch(cls[x[ok]], cls[y[ok]])
+    for s, n in zip(start[size > 64].tolist(), size[size > 64].tolist()):
+        yield from _across(cls[s : s + n], sketch[s : s + n], None, None)
+
+
+def _across(cls, sketch, other, other_sketch) -> Iterator[pa.RecordBatch]:
+    """Close pairs of two blocks, or of one with itself; a row at a time against all others."""
+    a, b, n = [], [], 0
+    for i in range(len(cls)):
+        c, s = (cls[i + 1 :], sketch[i + 1 :]) if other is None else (other, other_sketch)
+        at = np.flatnonzero(_close(sketch[i], s))
+        if len(at):
+            a.append(np.full(len(at), cls[i]))
+            b.append(c[at])
+            n += len(at)
+        if n > 500_000 or (n and i == len(cls) - 1):
+            yield _batch(np.concatenate(a), np.concatenate(b))
+            a, b, n = [], [], 0
+
+
+def _walk(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs ``(a, b)`` of a stream sorted by part and node.
+
+    A part is two blocks of a node, or a node, or several nodes below a shorter prefix: these are one node
+    if they hold at most ``small`` classes together.
+    """
+    held: list[list[np.ndarray]] = []
+
+    def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        part, node, cls, sketch = cols
+        edges = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
+        size = np.diff(edges)
+        sided = (node[edges[:-1]] == LEFT) | (node[edges[:-1]] == RIGHT)
+        for k in np.flatnonzero(sided).tolist():
+            s, e = edges[k], edges[k + 1]
+            left = node[s:e] == LEFT
+            yield from _across(cls[s:e][left], sketch[s:e][left], cls[s:e][~left], sketch[s:e][~left])
+        few = ~sided & (size <= small)
+        yield from _within(edges[:-1][few], size[few], cls, sketch)
+        many = np.repeat(~sided & (size > small), size)
+        if many.any():
+            part, node, cls, sketch = part[many], node[many], cls[many], sketch[many]
+            edges = np.concatenate(([0], np.flatnonzero((part[1:] != part[:-1]) | (node[1:] != node[:-1])) + 1, [len(part)]))
+            yield from _within(edges[:-1], np.diff(edges), cls, sketch)
 
-def _walk_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of a stream sorted by (node, left block, right block): left rows with right rows."""
-    held: list[np.ndarray] | None = None
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]  # node, left, right, side, class, sketch
-        if held is not None:
-            cols = [np.concatenate((h, c)) for h, c in zip(held, cols)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
         if not len(cols[0]):
             continue
-        change = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
-        edges = [0, *change.tolist()]
-        for s, e in zip(edges[:-1], edges[1:]):
-            yield from _block_pairs(*(c[s:e] for c in cols[1:]))
-        held = [c[edges[-1] :] for c in cols]
-    if held is not None and len(held[0]):
-        yield from _block_pairs(*held[1:])
-
-
-def _block_pairs(left, right, side, cls, sketch) -> Iterator[pa.RecordBatch]:
-    sketch = sketch.view(np.uint64)
-    if left[0] == right[0]:
-        for i in range(len(cls) - 1):
-            ok = _close(sketch[i], sketch[i + 1 :])
-            if ok.any():
-                yield _batch(np.full(int(ok.sum()), cls[i]), cls[i + 1 :][ok])
-        return
-    rc, rs = cls[side == 1], sketch[side == 1]
-    for c, s in zip(cls[side == 0], sketch[side == 0]):
-        ok = _close(s, rs)
-        if ok.any():
-            yield _batch(np.full(int(ok.sum()), c), rc[ok])
+        cols[3] = cols[3].view(np.uint64)
+        cut = np.flatnonzero(cols[0] != cols[0][-1])
+        last = cut[-1] + 1 if len(cut) else 0  # where the group begins that may go on in the next batch
+        if held and (last or held[-1][0][-1] != cols[0][-1]):
+            yield from pairs([np.concatenate([h[i] for h in held] + [cols[i][:last]]) for i in range(4)])
+            held = []
+        elif last:
+            yield from pairs([c[:last] for c in cols])
+        held.append([c[last:] for c in cols])
+    if held:
+        yield from pairs([np.concatenate([h[i] for h in held]) for i in range(4)])
+
+
+def candidates(classes: DataFrame, threshold: float, recall: float, node_rows: int = NODE_ROWS, n: int | None = None) -> DataFrame:
+    """Distinct candidate pairs ``(a, b)`` of ``classes(class, ring, sketch)``, ``a < b``."""
+    spark = classes.sparkSession
+    depth = depth_for(threshold, recall)
+    n = classes.count() if n is None else n
+    shorten = depth > 1 and n * TREES <= 1 << (16 * (depth - 1))
 
+    # Large nodes of both levels, by a bounded sample: at most SAMPLE * TREES * 2 / SURE of them.
+    share = min(1.0, SAMPLE / max(1, n))
+    drawn = classes.where(F.pmod(F.xxhash64(F.lit(3), "class"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["class"])
 
-def candidates(classes: DataFrame, threshold: float, recall: float, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Distinct candidate pairs ``(a, b)`` of classes, ``a < b``."""
-    depth = depth_for(threshold, recall)
-    node = F.shiftright(F.col("path"), 8 * (COORDS - depth)).cast("bigint") + F.col("tree").cast("bigint") * (1 << 24)
-    rows = classes.select("class", "sketch", F.posexplode("paths").alias("tree", "path")).select(node.alias("node"), "class", "sketch")
-    schema = "a bigint, b bigint, node bigint, sketch bigint"
-    walked = staged(rows.repartition("node").sortWithinPartitions("node").mapInArrow(lambda batches: _walk_nodes(batches, node_rows), schema), "nodes")
-    large = walked.where("node is not null").select("node", F.col("a").alias("class"), "sketch")
-    blocks = large.groupBy("node").count().select("node", F.ceil(F.col("count") / node_rows).cast("int").alias("n_blocks"))
-    placed = large.join(blocks, "node").withColumn("block", F.pmod(F.xxhash64("class"), F.col("n_blocks")).cast("int"))
-    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    sided = other.select("node", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), (F.col("block") > F.col("other")).cast("int").alias("side"), "class", "sketch")
-    spread = sided.repartition("node", "left", "right").sortWithinPartitions("node", "left", "right").mapInArrow(_walk_blocks, schema)
-    pairs = walked.where("node is null").select("a", "b").union(spread.select("a", "b"))
-    return pairs.where("a <> b").distinct()
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, above = _nodes(batch, depth)
+            ids, count = np.unique(np.concatenate((node.ravel(), above.ravel())) if shorten else node.ravel(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(count)], names=["node", "n"])
+
+    least = node_rows * share if share == 1 else max(SURE, node_rows * share)
+    found = drawn.select("ring").mapInArrow(seen, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") > least).orderBy("node").toArrow()
+    blocks = np.ceil(found.column("n").to_numpy() / share / node_rows).astype(np.int64)
+    large = spark.sparkContext.broadcast((found.column("node").to_numpy(), blocks))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, many = large.value
+
+        def n_blocks(node: np.ndarray) -> np.ndarray:
+            if not len(ids):
+                return np.ones(len(node), np.int64)
+            at = np.minimum(np.searchsorted(ids, node), len(ids) - 1)
+            return np.where(ids[at] == node, many[at], 1)
+
+        for whole in batches:
+            for s in range(0, whole.num_rows, 2000):
+                batch = whole.slice(s, 2000)
+                node, above = (x.ravel() for x in _nodes(batch, depth))
+                cls = np.repeat(batch.column("class").to_numpy(), TREES)
+                sketch = np.repeat(batch.column("sketch").to_numpy(), TREES)
+                times = n_blocks(node)
+                part = np.where(n_blocks(above) > 1, node, above) if shorten else node
+                one = times == 1
+                yield pa.RecordBatch.from_arrays([pa.array(x[one]) for x in (part, node, cls, sketch)], names=["part", "node", "class", "sketch"])
+                if one.all():
+                    continue
+                node, cls, sketch, times = (x[~one] for x in (node, cls, sketch, times))
+                each = np.repeat(np.arange(len(node)), times)
+                other = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+                own = ((_mix(cls.view(np.uint64)) >> np.uint64(8)).astype(np.int64) % times)[each]
+                left, right = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
+                part = _mix(_mix(node[each].view(np.uint64) + left) * np.uint64(0x9E3779B97F4A7C15) + right).view(np.int64)
+                side = np.where(own == other, node[each], np.where(own < other, LEFT, RIGHT))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part, side, cls[each], sketch[each])], names=["part", "node", "class", "sketch"])
+
+    rows = classes.select("class", "ring", "sketch").mapInArrow(spread, "part bigint, node bigint, class bigint, sketch bigint")
+    small = SMALL if shorten else 0
+    return rows.repartition("part").sortWithinPartitions("part", "node").mapInArrow(lambda batches: _walk(batches, small), "a bigint, b bigint").where("a <> b").distinct()
 
 
 def _verify(threshold: float, width: int):
@@ -300,14 +350,13 @@ def similar_classes(df: DataFrame, id_col: str = "id", text_col: str = "text", *
     signed = staged(signatures(rows, "id", "text", width, min_words), "signatures")
     members = signed.select("id", "class").distinct()
     # Rows of one class have equal signatures, so any row stands for it.
-    classes = signed.groupBy("class").agg(F.min("id").alias("id"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
-    found = candidates(classes.select("class", "paths", "sketch"), threshold, recall, node_rows)
-    # b-bit coordinates: agreement is at least the similarity; three standard deviations below it
-    coords = TREES * COORDS
-    least = math.floor(coords * threshold - 3 * math.sqrt(coords * threshold * (1 - threshold)))
-    side = classes.select("class", "paths", "id")
-    joined = found.join(side.select(F.col("class").alias("a"), F.col("paths").alias("pa"), F.col("id").alias("ia")), "a").join(side.select(F.col("class").alias("b"), F.col("paths").alias("pb"), F.col("id").alias("ib")), "b")
-    equal = F.aggregate(F.zip_with("pa", "pb", lambda p, q: p.bitwiseXOR(q)), F.lit(0), lambda s, x: s + sum((F.shiftright(x, 8 * k).bitwiseAND(F.lit(255)) == F.lit(0)).cast("int") for k in range(COORDS)))
+    classes = signed.groupBy("class").agg(F.min("id").alias("id"), F.first("ring").alias("ring"), F.first("sketch").alias("sketch"))
+    found = candidates(classes.select("class", "ring", "sketch"), threshold, recall, node_rows, signed.count())
+    # agreement is at least the similarity; a few standard deviations below it
+    least = math.floor(RING * threshold - SIGMAS * math.sqrt(RING * threshold * (1 - threshold)))
+    side = classes.select("class", "ring", "id")
+    joined = found.join(side.select(F.col("class").alias("a"), F.col("ring").alias("pa"), F.col("id").alias("ia")), "a").join(side.select(F.col("class").alias("b"), F.col("ring").alias("pb"), F.col("id").alias("ib")), "b")
+    equal = F.aggregate(F.zip_with("pa", "pb", lambda p, q: p.bitwiseXOR(q)), F.lit(0), lambda s, x: s + sum((F.shiftright(x, 16 * k).bitwiseAND(F.lit(65535)) == F.lit(0)).cast("int") for k in range(4)))
     likely = staged(joined.where(equal >= least).select("a", "b", "ia", "ib"), "likely")
     # Read the texts of the classes that are left. A bitmap of fixed size keeps other rows from the shuffle.
     needed = likely.select(F.col("a").alias("class"), F.col("ia").alias("id")).union(likely.select("b", "ib")).distinct()
@@ -325,24 +374,19 @@ def similar_classes(df: DataFrame, id_col: str = "id", text_col: str = "text", *
 def similar_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(id_a, id_b)`` with ``id_a < id_b``: all pairs of records of verified classes, and of copies.
 
-    The pairs of a class of many copies are spread over tasks in blocks of ``COPY_ROWS``.
+    The pairs of a class of many copies are spread over tasks in blocks of ``COPY_ROWS``. ``groups`` is the
+    form that stays linear in the records.
     """
-    sized = members.groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    sized = members.groupBy("class").agg(F.count("*").alias("n"))
     copies = members.join(sized.where("n > 1"), "class")
-    star, some = [], copies
-    if ALL_COPIES is not None:
-        star = [copies.where((F.col("n") > ALL_COPIES) & (F.col("id") != F.col("first"))).select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))]
-        some = copies.where(F.col("n") <= ALL_COPIES)
     n_blocks = F.ceil(F.col("n") / COPY_ROWS).cast("int")
-    placed = some.select("class", "id", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block"))
+    placed = copies.select("class", "id", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block"))
     every = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     left = placed.select("class", F.col("block").alias("l"), every.alias("r"), F.col("id").alias("id_a"))
     right = placed.select("class", every.alias("l"), F.col("block").alias("r"), F.col("id").alias("id_b"))
     each = left.join(right, ["class", "l", "r"]).where("id_a < id_b").select("id_a", "id_b")
     linked = pairs.select("a", "b")
     across = linked.join(members.select(F.col("class").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("class").alias("b"), F.col("id").alias("y")), "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    for more in star:
-        each = each.union(more)
     return each.union(across)
 
 

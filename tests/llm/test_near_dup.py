@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexloom.llm import near_dup as N
@@ -79,14 +81,6 @@ def test_copies_nulls_short_and_repeated(spark):
     assert {r["id"]: (r["group"], r["n_links"]) for r in N.groups(members, pairs).collect()} == {"a": ("a", 0), "b": ("a", 0), "c": ("a", 0), "z": ("z", 0)}
 
 
-def test_many_copies_are_named_beside_the_first(spark, monkeypatch):
-    monkeypatch.setattr(N, "ALL_COPIES", 3)
-    text = " ".join(f"w{i}" for i in range(50))
-    near = text + " tail"
-    got = run(spark, [(f"c{i}", text) for i in range(5)] + [("d", near)], threshold=0.5, width=3, min_words=40)[2]
-    assert {p for p in got if "d" not in p} == {("c0", f"c{i}") for i in range(1, 5)} and {p for p in got if "d" in p} == {(f"c{i}", "d") for i in range(5)}
-
-
 def test_every_pair_of_many_copies(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(f"c{i:04}", text if i % 2 else text.upper()) for i in range(1001)]  # two different texts, one class
@@ -106,6 +100,63 @@ def test_empty(spark):
     assert run(spark, [], threshold=0.5, width=3)[2] == set()
 
 
-@pytest.mark.parametrize(("t", "recall", "depth"), [(0.5, 0.98, 3), (0.5, 0.999, 2), (0.8, 0.99, 3), (0.1, 0.99, 1)])
+@pytest.mark.parametrize(("t", "recall", "depth"), [(0.5, 0.98, 3), (0.5, 0.999, 2), (0.8, 0.99, 7), (0.9, 0.98, 8), (0.1, 0.99, 1)])
 def test_depth(t, recall, depth):
     assert N.depth_for(t, recall) == depth
+
+
+def exact_pairs(spark, classes, depth):
+    """Pairs of close sketches that share a prefix of that depth in some tree, straight from the rings."""
+    rows = classes.collect()
+    sketch = {r["class"]: r["sketch"] % (1 << 64) for r in rows}
+    ring = {r["class"]: np.array(r["ring"], np.int64).view(np.uint16) for r in rows}
+    out = set()
+    for tree in range(N.TREES):
+        at = (tree * N.STRIDE + np.arange(depth)) % N.RING
+        nodes = {}
+        for c, x in ring.items():
+            nodes.setdefault(tuple(x[at]), []).append(c)
+        out |= {(min(a, b), max(a, b)) for g in nodes.values() for i, a in enumerate(g) for b in g[i + 1 :] if (sketch[a] ^ sketch[b]).bit_count() <= 64 - N.SKETCH_AGREE}
+    return out
+
+
+@pytest.mark.parametrize("node_rows", [4096, 6])
+def test_prefixes_of_different_depths(spark, monkeypatch, node_rows):
+    """Small nodes are shortened, wide ones are not; at the full depth none is."""
+    rng = random.Random(8)
+    common = " ".join(f"c{i}" for i in range(25))  # a quarter to a third of each text of one kind: wide nodes
+    rows = corpus(rng, 40, 25) + [(f"k{i:03}", common + " " + " ".join(f"k{rng.randint(0, 10**6)}" for _ in range(35))) for i in range(60)]
+    signed = N.signatures(spark.createDataFrame(rows, "id string, text string"), "id", "text", 3, 40)
+    classes = signed.select("class", "ring", "sketch").dropDuplicates(["class"]).cache()
+    got = {tuple(r) for r in N.candidates(classes, 0.5, 0.98, node_rows).collect()}
+    three, two = exact_pairs(spark, classes, 3), exact_pairs(spark, classes, 2)
+    assert three < got < two  # more than depth 3 gives, yet not all of depth 2
+    monkeypatch.setattr(N, "SMALL", 0)
+    assert {tuple(r) for r in N.candidates(classes, 0.5, 0.98, node_rows).collect()} == three
+    seven = {tuple(r) for r in N.candidates(classes, 0.8, 0.98, node_rows).collect()}
+    assert seven == exact_pairs(spark, classes, 7) < three
+
+
+def test_no_shorter_prefix_where_chance_fills_it(spark):
+    rows = corpus(random.Random(9), 40, 25)
+    classes = N.signatures(spark.createDataFrame(rows, "id string, text string"), "id", "text", 3, 40).select("class", "ring", "sketch").dropDuplicates(["class"])
+    got = {tuple(r) for r in N.candidates(classes, 0.5, 0.98, n=10**9).collect()}
+    assert got == exact_pairs(spark, classes, 3) and 32 * 10**18 / 2 ** (16 * 3 + 1) < 10**9
+
+
+def test_a_stream_is_walked_alike_however_it_is_batched():
+    rng = np.random.default_rng(3)
+    part = np.sort(rng.integers(0, 60, 900))
+    part[300:500] = part[300]
+    part.sort()
+    node = part * 10 + rng.integers(0, 3, 900)
+    cols = [part, node, np.arange(900), np.zeros(900, np.int64)]
+    by = np.lexsort((node, part))
+    whole = pa.RecordBatch.from_arrays([pa.array(c[by]) for c in cols], names=["part", "node", "class", "sketch"])
+
+    def pairs(step, small):
+        return sorted((a, b) for r in N._walk((whole.slice(i, step) for i in range(0, 900, step)), small) for a, b in zip(r.column(0).to_pylist(), r.column(1).to_pylist()))
+
+    for small in (0, 12, 1000):
+        assert pairs(900, small) == pairs(7, small) == pairs(250, small) == pairs(1, small)
+    assert len(pairs(900, 0)) < len(pairs(900, 12)) < len(pairs(900, 1000))
