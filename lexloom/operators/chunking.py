@@ -31,18 +31,23 @@ def overlap_chunks(df: DataFrame, keep: list[str], text_col: str = "text", size:
 
 
 def file_chunks(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Chunk rows of ``pages(path, page, text, category, jurisdiction, document_id, framework)``.
+    """Chunk rows of ``pages(path, page, text, category, jurisdiction, document_id, framework[, doc_no])``.
 
     The chunk index runs on across a file's pages; the id holds the file's base name, 12 digits of the
     SHA-256 of its path, page and index. The category defaults to the file's stem; blank metadata is null.
+    With ``doc_no``, the number of the file in its store, rows have their place ``ord`` (doc_no * 2^32 + index)
+    and ``jurisdictions``, as the chunk store wants them. Only windows of one file are ordered: a window by path.
     """
-    keep = ["path", "page", "category", "jurisdiction", "document_id", "framework"]
+    placed = "doc_no" in pages.columns
+    keep = ["path", "page", "category", "jurisdiction", "document_id", "framework", *(["doc_no"] if placed else [])]
     parts = overlap_chunks(pages, keep, "text", size, overlap)
     order = Window.partitionBy("path").orderBy("page", "window_ix")
     base = F.element_at(F.split("path", "/"), -1)
+    code = F.upper(strip(blank_to_null(F.col("jurisdiction"))))
+    more = [(F.col("doc_no").cast("bigint") * (1 << 32) + F.col("chunk_ix")).alias("ord"), F.when(code.isNotNull(), F.array(code)).alias("jurisdictions")] if placed else []
     return parts.withColumn("chunk_ix", F.row_number().over(order) - 1).select(
         F.concat(base, F.lit("_"), F.substring(F.sha2("path", 256), 1, 12), F.lit("_p"), F.col("page"), F.lit("_c"), F.col("chunk_ix")).alias("id"),
         F.col("chunk_text").alias("text"), base.alias("source"), F.col("path").alias("source_path"), "page", "chunk_ix",
         F.coalesce(blank_to_null(F.col("category")), F.regexp_replace(base, r"(?<=.)\.[^.]*$", "")).alias("category"),
-        F.upper(strip(blank_to_null(F.col("jurisdiction")))).alias("jurisdiction"), blank_to_null(F.col("document_id")).alias("document_id"), blank_to_null(F.col("framework")).alias("framework"),
+        code.alias("jurisdiction"), blank_to_null(F.col("document_id")).alias("document_id"), blank_to_null(F.col("framework")).alias("framework"), *more,
     )

@@ -14,15 +14,18 @@ def pack(ranked: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """``(query_id, n_chunks, used_chars, evidence)`` from ``(query_id, place, id, text, source, page, category)``.
 
     A block is a header line, the stripped text and a line end; blocks join with a further line end. The
-    first block that would exceed the budget ends the pack (separators are not counted).
+    first block that would exceed the budget ends the pack (separators are not counted); a query whose first
+    block does has empty evidence.
     """
     header = F.concat(F.lit("[chunk_id="), F.col("id"), F.lit(" source="), F.coalesce("source", F.lit("?")), F.lit(" page="), F.coalesce(F.col("page").cast("string"), F.lit("0")), F.lit(" category="), F.coalesce("category", F.lit("?")), F.lit("]"))
     block = F.concat(header, F.lit("\n"), strip(F.coalesce("text", F.lit(""))), F.lit("\n"))
     order = Window.partitionBy("query_id").orderBy("place")
-    used = ranked.withColumn("block", block).withColumn("used", F.sum(F.length("block")).over(order)).where(F.col("used") <= max_chars)
+    fits = F.col("used") <= max_chars
+    used = ranked.withColumn("block", block).withColumn("used", F.sum(F.length("block")).over(order))
+    kept = F.sort_array(F.collect_list(F.when(fits, F.struct("place", "block"))))
     return used.groupBy("query_id").agg(
-        F.count("*").alias("n_chunks"), F.max("used").alias("used_chars"),
-        strip(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "block"))), lambda x: x["block"]), "\n")).alias("evidence"),
+        F.count_if(fits).alias("n_chunks"), F.coalesce(F.max(F.when(fits, F.col("used"))), F.lit(0)).alias("used_chars"),
+        strip(F.array_join(F.transform(kept, lambda x: x["block"]), "\n")).alias("evidence"),
     )
 
 

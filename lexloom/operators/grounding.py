@@ -58,15 +58,27 @@ def normalise_items(recs: Column) -> Column:
     return F.coalesce(F.filter(F.transform(items, item), lambda x: x.isNotNull()), F.array().cast(REC))
 
 
+def citations(v: Column) -> Column:
+    """A report's citations as ``array<struct<is_object, chunk_id, reason>>``; anything but a list is empty."""
+    items = F.try_variant_get(v, "$.citations", "array<variant>")
+    one = lambda c: F.struct(F.schema_of_variant(c).startswith("OBJECT").alias("is_object"), _field(c, "chunk_id").alias("chunk_id"), _field(c, "reason").alias("reason"))
+    return F.coalesce(F.transform(items, one), F.array().cast("array<struct<is_object: boolean, chunk_id: string, reason: string>>"))
+
+
 def coerce_report(raw: Column, guess: Column) -> Column:
-    """Struct of a report's fields with their defaults, from a model's answer."""
+    """Struct of a report's fields with their defaults, from a model's answer.
+
+    Values of another type come out as JSON spells them (``true``, ``1.5``); a null counts as absent.
+    ``unparsed`` marks recommendations that were there, but no list with an item to be used.
+    """
     v = salvage(raw)
     listed = lambda name: F.coalesce(F.try_variant_get(v, f"$.{name}", "array<string>"), F.array().cast("array<string>"))
     return F.struct(
         F.coalesce(_field(v, "study_type"), guess).alias("study_type"), F.coalesce(_field(v, "status"), F.lit("Unknown")).alias("status"),
         listed("missing_elements").alias("missing_elements"), normalise_items(F.try_variant_get(v, "$.recommendations", "variant")).alias("recommendations"),
         _truthy(v, "notes").alias("notes"), parse_failed(raw).alias("parse_failed"),
-        (F.try_variant_get(v, "$.recommendations", "variant").isNotNull() & F.try_variant_get(v, "$.recommendations", "array<variant>").isNull()).alias("parse_warning"),
+        (_truthy(v, "recommendations").isNotNull() & (F.size(normalise_items(F.try_variant_get(v, "$.recommendations", "variant"))) == 0)).alias("unparsed"),
+        citations(v).alias("citations"),
     )
 
 
@@ -96,28 +108,40 @@ def overlap_filter(scored: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataF
     return scored.withColumn("reason", reason).withColumn("kept", F.col("reason").isNull()).withColumn("score", F.when(F.col("reason") == "no_evidence_chunk_ids", 0.0).otherwise(F.col("score")))
 
 
-def overlap_stats(filtered: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """Counts per report, whether nothing is left, and the first dropped items."""
+def overlap_stats(filtered: DataFrame, min_overlap: float = MIN_OVERLAP, reports: DataFrame | None = None) -> DataFrame:
+    """Counts per report, whether nothing is left of what there was, the kept items with their scores to four
+    digits, and the first dropped items with their raw scores. ``reports(report_id)`` adds reports without items."""
     dropped = F.when(~F.col("kept"), F.struct("rec_no", "reason", F.substring("text", 1, 120).alias("text_preview"), "score"))
+    kept = F.when(F.col("kept"), F.struct("rec_no", "text", "evidence_chunk_ids", F.round("score", 4).alias("overlap_score")))
     order = Window.partitionBy("report_id").orderBy("rec_no")
     lost = filtered.withColumn("nth", F.sum((~F.col("kept")).cast("int")).over(order))
-    return lost.groupBy("report_id").agg(
+    out = lost.groupBy("report_id").agg(
         F.count("*").alias("input_count"), F.count_if("kept").alias("kept_count"), F.count_if(~F.col("kept")).alias("dropped_count"), (F.count_if("kept") == 0).alias("dropped_all"),
-        F.lit(min_overlap).alias("min_threshold"), F.sort_array(F.collect_list(F.when(F.col("nth") <= DROPPED_LISTED, dropped))).alias("dropped"),
+        F.lit(min_overlap).alias("min_threshold"), F.sort_array(F.collect_list(F.when(F.col("nth") <= DROPPED_LISTED, dropped))).alias("dropped"), F.sort_array(F.collect_list(kept)).alias("kept"),
     )
+    if reports is None:
+        return out
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("input_count", "kept_count", "dropped_count")} | {"dropped_all": F.coalesce("dropped_all", F.lit(False)), "min_threshold": F.lit(min_overlap)}
+    empty = {c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("dropped", "kept")}
+    return reports.select("report_id").distinct().join(out, "report_id", "left").withColumns(zero | empty)
 
 
 def _quoted(ids: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(ids, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
 
 
-def audit(recs: DataFrame, allowed: DataFrame, citations: DataFrame | None = None, *, require_evidence: bool = True) -> DataFrame:
-    """Audit of every report: ``(report_id, ok, issues, recommendation_count, invalid_evidence_chunk_ids)``.
+UNPARSED = "Field 'recommendations' was present but could not be parsed."
+
+
+def audit(recs: DataFrame, allowed: DataFrame, citations: DataFrame | None = None, *, require_evidence: bool = True, reports: DataFrame | None = None) -> DataFrame:
+    """Audit of every report: ``(report_id, ok, issues, allowed_chunk_count, recommendation_count, invalid_evidence_chunk_ids)``.
 
     ``recs(report_id, rec_no, text, evidence_chunk_ids)``; ``allowed(report_id, id)``, or ``allowed(id)``
     for one allow-list of all reports; ``citations(report_id, citation_no, is_object, chunk_id)`` adds the
-    issues, counts and valid ids of supplementary citations. Issues come in the order of the report's
-    recommendations, then invalid ids, then citations. Membership is an anti join; nothing is collected.
+    issues, counts and valid ids of supplementary citations; ``reports(report_id[, unparsed])`` names reports that may
+    have no recommendation at all (ok, with count 0) and those whose recommendations were there but not to be
+    parsed. Issues: unparsed first, then by recommendation, then invalid ids, then citations. Membership is an
+    anti join; nothing is collected.
     """
     order = Window.partitionBy("report_id").orderBy("rec_no")
     at = recs.withColumn("i", F.row_number().over(order) - 1).select("report_id", "i", strip(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce("evidence_chunk_ids", F.array().cast("array<string>")).alias("ids"))
@@ -141,11 +165,19 @@ def audit(recs: DataFrame, allowed: DataFrame, citations: DataFrame | None = Non
         issues = issues.unionByName(ok.select("report_id", F.lit(2).alias("part"), F.col("citation_no").alias("i"), F.lit(0).alias("k"), flaw.alias("issue")).where("issue is not null"))
         valid = ok.groupBy("report_id").agg(F.count("*").alias("citation_count"), F.transform(F.sort_array(F.collect_list(F.when(F.col("is_object") & F.col("known"), F.struct("citation_no", "chunk_id")))), lambda x: x["chunk_id"]).alias("valid_citation_chunk_ids"))
         counts = counts.join(valid, "report_id", "full_outer").withColumn("recommendation_count", F.coalesce("recommendation_count", F.lit(0)))
+    if reports is not None:
+        counts = reports.select("report_id").distinct().join(counts, "report_id", "left").withColumn("recommendation_count", F.coalesce("recommendation_count", F.lit(0)))
+        if "unparsed" in reports.columns:
+            issues = issues.unionByName(reports.where("unparsed").select("report_id", F.lit(-1).alias("part"), F.lit(0).alias("i"), F.lit(0).alias("k"), F.lit(UNPARSED).alias("issue")))
     listed_issues = issues.groupBy("report_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "i", "k", "issue"))), lambda x: x["issue"]).alias("issues"))
     none = F.array().cast("array<string>")
     out = counts.join(listed_issues, "report_id", "left").join(invalid, "report_id", "left")
+    if "report_id" in keys:
+        out = out.join(allowed.groupBy("report_id").agg(F.countDistinct("id").alias("allowed_chunk_count")), "report_id", "left").withColumn("allowed_chunk_count", F.coalesce("allowed_chunk_count", F.lit(0)))
+    else:
+        out = out.crossJoin(F.broadcast(allowed.agg(F.countDistinct("id").alias("allowed_chunk_count"))))
     rest = [c for c in counts.columns if c not in ("report_id", "recommendation_count")]
-    return out.select("report_id", F.col("issues").isNull().alias("ok"), F.coalesce("issues", none).alias("issues"), "recommendation_count", F.coalesce("invalid", none).alias("invalid_evidence_chunk_ids"), *rest)
+    return out.select("report_id", F.col("issues").isNull().alias("ok"), F.coalesce("issues", none).alias("issues"), "allowed_chunk_count", "recommendation_count", F.coalesce("invalid", none).alias("invalid_evidence_chunk_ids"), *rest)
 
 
 def final_attempt(attempts: DataFrame, max_attempts: int = 2) -> DataFrame:

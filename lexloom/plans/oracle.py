@@ -87,17 +87,7 @@ def _hybrid(where: str | None = None, pre: bool = False) -> str:
 
 _SHOWN = "select query_id, place, id, round(fused, 9) as fused, category, document_id from hits"
 _CODE = f"upper({_strip('jurisdiction')})"
-_LABELS = {
-    "SG": "Singapore — PDPA, HBRA, Health Information Bill",
-    "CN": "China — HGR, PIPL, Data Security Law",
-    "TW": "Taiwan — Human Biobank Act, PDPA",
-    "KR": "Korea — Bioethics Act, PIPA",
-    "JP": "Japan — Ethical Guidelines, APPI, Genomic Medicine Act",
-    "HK": "Hong Kong — PDPO, cross-border transfer (s.33)",
-    "EU": "EU — GDPR and related briefs",
-    "GA4GH": "GA4GH / REWS framework (international norms)",
-    "INTL": "Cross-cutting GA4GH guidance",
-}
+_LABELS = {"SG": "Singapore", "CN": "Mainland China", "TW": "Taiwan", "KR": "South Korea", "JP": "Japan", "HK": "Hong Kong", "EU": "European Union", "INTL": "everywhere"}
 _CODES = f"list_filter(list_transform(coalesce(jurisdiction, []), lambda x: upper({_strip('x')})), lambda x: coalesce(x, '') <> '')"
 # first occurrences only, in order
 _DISTINCT_CODES = f"list_filter({_CODES}, lambda x, i: list_position({_CODES}, x) = i)"
@@ -130,11 +120,11 @@ _KIND = (
 _MISSING = f"list_filter({_list(_ELEMENTS)}, lambda w: not contains(lower(coalesce(text, '')), w))"
 _GAP = f"case when len({_MISSING}) <= 3 then 'Partially Compliant' else 'Non-Compliant' end"
 _TEXTS = [
-    "Add explicit language on permitted secondary uses and any restrictions.",
-    "Clarify withdrawal of consent and what happens to already-shared data.",
-    "State whether data may be stored or processed outside the original jurisdiction.",
+    "Say which later uses of the data are covered and which are not.",
+    "Describe how a person can step back and what becomes of data passed on before.",
+    "Name the places outside the home country where data are kept or processed, if any.",
 ]
-_EMPTY_TEXT = "Ingest at least one policy document into the local store before checking compliance."
+_EMPTY_TEXT = "The store has no chunk to compare this text with: ingest documents first."
 _PER_QUERY = "got as (select query_id, list(id order by place) as ids from hits group by query_id)"
 
 _REC = f"""
@@ -165,11 +155,67 @@ def _windows(keep: str, src: str) -> str:
 _DOC_CHUNKS = f"with {_windows('doc_id', 'documents')}"
 _BASE = "regexp_replace(lower(source), '[^a-z]+', '-', 'g') || '.txt'"
 
+_SAVED = "id, ord, md5(substring(b, ix * 750 + 1, 900)) as text_md5, base as source, '/corpus/' || base as source_path, page, category, jurisdictions, document_id"
+_META = f"""coalesce(case when {_strip("coalesce(category, '')")} <> '' then category end, regexp_replace(base, '\\.txt$', '')) as category,
+       case when {_strip("coalesce(jurisdiction, '')")} <> '' then {_CODE} end as jurisdictions, case when {_strip("coalesce(document_id, '')")} <> '' then document_id end as document_id"""
+
+
+def _ids(page: str) -> str:
+    return f"base || '_' || substring(sha256('/corpus/' || base), 1, 12) || '_p' || {page} || '_c' || chunk_ix as id"
+
+
+# reports checked from raw answers: first answers hold all lines, second answers the sound ones
+_CHECKED = f"""
+line as (select report_id, rec_no, {_strip("coalesce(text, '')")} as text, coalesce(text, '') as raw_text, coalesce(evidence_chunk_ids, []) as ids from recommendations),
+hit as (select distinct report_id, id from (select report_id, unnest(ids) as id from line where report_id % 5 <> 4) where id in (select id from store)),
+n_hit as (select report_id, count(*) as n from hit group by report_id),
+full_text as (select report_id, string_agg(raw_text, ' ' order by rec_no) as text from line group by report_id),
+part as (select l.report_id, l.rec_no, list_distinct({_tok('l.text')}) as rt, {_tok('s.text')} as ct from (select report_id, rec_no, text, unnest(list_distinct(ids)) as id from line) l join hit h on h.report_id = l.report_id and h.id = l.id join store s on s.id = l.id),
+top as (select report_id, rec_no, max(case when len(rt) = 0 then 0 else len(list_filter(rt, lambda x: list_contains(ct, x)))::double / len(rt) end) as score from part group by report_id, rec_no),
+lost as (select distinct l.report_id, l.rec_no from (select report_id, rec_no, unnest(ids) as id from line) l left join hit h on h.report_id = l.report_id and h.id = l.id where h.id is null),
+flag as (select l.*, coalesce(t.score, 0) as score, x.rec_no is null and len(l.ids) > 0 and l.text <> '' as sound from line l left join top t on t.report_id = l.report_id and t.rec_no = l.rec_no left join lost x on x.report_id = l.report_id and x.rec_no = l.rec_no),
+tally as (
+  select report_id, bool_and(sound) and any_value(report_id) % 5 <> 1 as clean1, count(*) filter (where score >= 0.3) as kept1, count(*) as n1,
+         count(*) filter (where sound and score >= 0.3) as kept2, count(*) filter (where sound) as n2,
+         string_agg(text || ' ' || array_to_string(ids, '|'), chr(10) order by rec_no) filter (where score >= 0.3) as recs1, string_agg(text || ' ' || array_to_string(ids, '|'), chr(10) order by rec_no) filter (where sound and score >= 0.3) as recs2
+  from flag group by report_id),
+verdict as (select *, clean1 and kept1 > 0 as pass1, n2 = 0 or kept2 > 0 as pass2 from tally)"""
+
 SQL: dict[str, str] = {
     "tokens": f"select doc_id, len({_tok('text')}) as n_tokens, len(list_distinct({_tok('text')})) as n_distinct, md5(array_to_string({_tok('text')}, ' ')) as tokens_md5 from documents",
     "token_stats": f"select token, sum(tf)::bigint as cf, count(*) as df from (select doc_id, token, count(*) as tf from (select doc_id, unnest({_tok('text')}) as token from documents) group by 1, 2) group by token",
     "chunks": f"{_DOC_CHUNKS} select doc_id, ix as chunk_ix, ix * 750 as start, length(substring(b, ix * 750 + 1, 900)) as n_chars, md5(substring(b, ix * 750 + 1, 900)) as text_md5 from win",
-    "stream_ingest": f"{_DOC_CHUNKS} select doc_id, ix as chunk_ix, length(substring(b, ix * 750 + 1, 900)) as n_chars from win",
+    "stream_ingest": f"""
+        with {_windows("doc_id || '.txt' as base, doc_id, category, jurisdiction, document_id", "documents")}, placed as (select *, ix as chunk_ix, doc_id * 4294967296 + ix as ord, 0::bigint as page from win)
+        select {_SAVED} from (select {_ids("0")}, ord, b, ix, base, page, {_META} from placed)""",
+    "ingest_store": f"""
+        with doc as (select {_BASE} as base, doc_id as page, text, category, jurisdiction, document_id from documents where source is not null),
+        about as (select base, row_number() over (order by base) - 1 as no, min(category) as category, min(jurisdiction) as jurisdiction, min(document_id) as document_id from doc group by base),
+        {_windows("base, page", "doc")}, placed as (select *, row_number() over (partition by base order by page, ix) - 1 as chunk_ix from win),
+        met as (select p.*, a.no * 4294967296 + chunk_ix as ord, a.category, a.jurisdiction, a.document_id from placed p join about a on a.base = p.base)
+        select {_SAVED} from (select {_ids("page")}, ord, b, ix, base, page, {_META} from met)""",
+    "ingest_batch": f"""
+        with {_STORE}, {_windows("source_path", "store where source_path is not null")}, n as (select source_path, count(*) as n from win group by 1), p as (select distinct source_path from store)
+        select i.pos, i.document_id, case when p.source_path is null then 'missing_file' when n.n is null and lower(i.ingest_path) like '%.pdf' then 'error' else 'ok' end as status, coalesce(n.n, 0) as chunks
+        from inventory i left join p on p.source_path = i.ingest_path left join n on n.source_path = i.ingest_path where {_strip("coalesce(ingest_path, '')")} <> ''""",
+    "check_reports": f"""
+        with {_STORE}, {_CHECKED}, s as (select t.report_id, t.text, {_KIND_SCORES.replace("text", "t.text")} from full_text t),
+        kind as (select report_id, {_KIND} as study_type, {_GAP} as status from s)
+        select v.report_id, case when h.n is null then 'empty store' when v.report_id % 5 = 3 then 'keywords' else 'model' end as made_by,
+               case when h.n is null or v.report_id % 5 = 3 then k.study_type else 'given' end as study_type, case when h.n is null then 'Unknown' when v.report_id % 5 = 3 then k.status else 'Compliant' end as status,
+               case when h.n is null then false when v.report_id % 5 = 3 then true else pass1 or pass2 end as grounding_ok, case when h.n is null then 1 when v.report_id % 5 = 3 or pass1 or pass2 then 0 else 1 end::bigint as n_issues,
+               coalesce(h.n, 0) as allowed_chunk_count, case when h.n is null then 1 when v.report_id % 5 = 3 then 3 when pass1 then kept1 else kept2 end as recommendation_count,
+               case when h.n is null then 0 when v.report_id % 5 = 3 or pass1 then 1 else 2 end as grounding_attempts, h.n is not null and v.report_id % 5 <> 3 and not pass1 and not pass2 as dropped_all,
+               case when h.n is not null and v.report_id % 5 <> 3 then md5(coalesce(case when pass1 then recs1 else recs2 end, '')) end as recommendations_md5
+        from verdict v join kind k on k.report_id = v.report_id left join n_hit h on h.report_id = v.report_id""",
+    "audit_empty_reports": f"""
+        with {_STORE}, {_REC}, {_AUDIT},
+        every as (select -query_id as report_id, query_id % 3 = 0 as unparsed from eval_queries union all select distinct report_id, false from recommendations),
+        n_issue as (select report_id, count(*) as n from issue group by 1),
+        n_rec as (select report_id, count(*) as n, count(*) filter (where reason is null) as kept, sum(round(score, 4)) filter (where reason is null) as total from kept group by 1)
+        select e.report_id, coalesce(i.n, 0) + e.unparsed::int = 0 as ok, (coalesce(i.n, 0) + e.unparsed::int)::bigint as n_issues, (select count(*) from store) as allowed_chunk_count, coalesce(r.n, 0) as recommendation_count,
+               coalesce(r.n, 0) as input_count, coalesce(r.kept, 0) as kept_count, coalesce(r.n > 0 and r.kept = 0, false) as dropped_all, round(coalesce(r.total, 0), 3) as kept_scores
+        from every e left join n_issue i on i.report_id = e.report_id left join n_rec r on r.report_id = e.report_id""",
     "chunk_ids": f"""
         with {_windows(f"{_BASE} as base, cast(doc_id as integer) as page, category, jurisdiction, document_id", "documents where source is not null")},
         placed as (select *, row_number() over (partition by base order by page, ix) - 1 as chunk_ix from win)
@@ -198,12 +244,14 @@ SQL: dict[str, str] = {
     "evidence_pack": f"""{_hybrid()},
         block as (select query_id, place, '[chunk_id=' || id || ' source=' || coalesce(source, '?') || ' page=' || coalesce(page, 0) || ' category=' || coalesce(category, '?') || ']' || chr(10) || {_strip("coalesce(text, '')")} || chr(10) as b from hits),
         used as (select query_id, place, b, sum(length(b)) over (partition by query_id order by place) as used from block)
-        select query_id, count(*) as n_chunks, max(used)::bigint as used_chars, md5({_strip("string_agg(b, chr(10) order by place)")}) as evidence_md5 from used where used <= 6000 group by query_id""",
+        select query_id, count(*) filter (where used <= 6000) as n_chunks, coalesce(max(used) filter (where used <= 6000), 0)::bigint as used_chars, md5({_strip("coalesce(string_agg(b, chr(10) order by place) filter (where used <= 6000), '')")}) as evidence_md5 from used group by query_id""",
     "chunk_cards": f"with {_STORE} select id, md5(substring(coalesce(text, ''), 1, 2000)) as card_md5, md5(replace(substring(coalesce(text, ''), 1, 240), chr(10), ' ')) as snippet_md5 from store",
     "list_jurisdictions": f"select distinct upper({_strip('metadata.jurisdiction')}) as jurisdiction from chunks where {_strip("coalesce(metadata.jurisdiction, '')")} <> ''",
     "jurisdiction_options": f"with r as (select distinct metadata.jurisdiction as raw, upper({_strip('metadata.jurisdiction')}) as c from chunks where metadata.jurisdiction is not null) select raw, case c {' '.join(f"when '{k}' then '{k} — {v}'" for k, v in _LABELS.items())} else c end as label from r",
     "jurisdiction_filters": f"select pos, array_to_string({_DISTINCT_CODES}, '|') as codes, case when len({_CODES}) > 0 then array_to_string({_DISTINCT_CODES}, ', ') else 'all jurisdictions' end as scope from inventory",
-    "browse_region": f"with {_STORE}, r as (select id, ord, category, page, count(*) over () as total from store where {_CODE} = 'HK') select * from r order by ord limit 25",
+    "browse_region": f"with {_STORE}, r as (select id, ord, md5(text) as text, source, source_path, cast(page as varchar) as page, category, jurisdiction as jurisdictions, document_id, framework, count(*) over () as total from store where {_CODE} = 'HK') select * from r order by ord limit 25",
+    "label_codes": f"select pos, array_to_string({_DISTINCT_CODES}, '|') as codes from inventory",
+    "store_counts": f"with {_STORE} select (select count(*) from store) as n_chunks, (select count(*) from inventory) as n_documents",
     "source_links": f"with {_STORE}, link as (select document_id as key, arg_max({_strip('source_url')}, pos) as source_url from inventory where {_strip("coalesce(source_url, '')")} <> '' and coalesce(document_id, '') <> '' group by 1) select s.id, l.source_url from store s left join link l on l.key = coalesce(nullif(s.document_id, ''), s.category)",
     "corpus_listing": _LISTING,
     "corpus_region": f"{_LISTING} where list_contains(list_transform(jurisdiction, lambda x: upper(x)), 'EU')",
@@ -217,13 +265,13 @@ SQL: dict[str, str] = {
     "fallback_report": f"""{_hybrid()}, {_PER_QUERY}, s as (select query_id, text, {_KIND_SCORES} from eval_queries)
         select s.query_id as report_id, {_KIND} as study_type, case when g.ids is null then 'Unknown' else {_GAP} end as status, case when g.ids is null then '' else array_to_string({_MISSING}, '|') end as missing,
                case when g.ids is null then 1 else 3 end::bigint as n_recommendations, case when g.ids is null then 0 else least(len(g.ids), 5) end as n_citations, g.ids is not null as grounding_ok,
-               case when g.ids is null then 'No retrieved chunks; evidence_chunk_ids cannot be grounded.' else '' end as issues, case when g.ids is null then 0 else 1 end::bigint as grounding_attempts
+               case when g.ids is null then 'Nothing was retrieved, so no evidence can be checked.' else '' end as issues, case when g.ids is null then 0 else 1 end::bigint as grounding_attempts
         from s left join got g on g.query_id = s.query_id""",
     "fallback_recommendations": f"""{_hybrid()}, {_PER_QUERY},
         fixed as (select * from (values (0, '{_TEXTS[0]}'), (1, '{_TEXTS[1]}'), (2, '{_TEXTS[2]}')) t(rec_no, text))
         select g.query_id as report_id, f.rec_no::bigint as rec_no, f.text, g.ids[f.rec_no % len(g.ids) + 1] as evidence from got g cross join fixed f
         union all select e.query_id, 0, '{_EMPTY_TEXT}', '' from eval_queries e where e.query_id not in (select query_id from got)""",
-    "fallback_citations": f"{_hybrid()} select query_id as report_id, place as no, id as chunk_id, 'Retrieved as potentially relevant policy context.' as reason from hits where place < 5",
+    "fallback_citations": f"{_hybrid()} select query_id as report_id, place as no, id as chunk_id, 'Among the chunks found for this text.' as reason from hits where place < 5",
     "token_recall": f"with {_STORE}, {_REC} select report_id, rec_no, round(score, 6) as score from scored",
     "overlap_filter": f"with {_STORE}, {_REC} select report_id, rec_no, reason is null as kept, reason, round(case when reason = 'no_evidence_chunk_ids' then 0 else score end, 6) as score from kept",
     "overlap_stats": f"with {_STORE}, {_REC} select report_id, count(*) as input_count, count(*) filter (where reason is null) as kept_count, count(reason) as dropped_count, count(*) filter (where reason is null) = 0 as dropped_all, coalesce(string_agg(rec_no::varchar, '|' order by rec_no) filter (where reason is not null), '') as dropped from kept group by report_id",

@@ -12,23 +12,49 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 from lexloom.operators import chunking, classify, dense, evaluate, evidence, fusion, grounding, inventory, lexical, retrieval
-from lexloom.session import table
+from lexloom.plans import check, ingest
+from lexloom.session import numbered, staging_path, table
 from lexloom.sources import store as stores
+from lexloom.streaming.ingest import start_ingest
 
 CATEGORY, REGIONS = "consent_form", ["SG", "hk "]
+#: Vocabulary of the display queries; codes that aren't in it stand for themselves.
+LABELS = {"SG": "Singapore", "CN": "Mainland China", "TW": "Taiwan", "KR": "South Korea", "JP": "Japan", "HK": "Hong Kong", "EU": "European Union", "INTL": "everywhere"}
+_BUILT: dict = {}
 
 
 def _store(spark, d):
     return stores.from_manifest(table(spark, d, "chunks"))
 
 
+def _once(spark, d, name, build):
+    """What is stored beside a store (index, vectors) is written once in a session for the tables of a folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
+def _some(store):
+    return store.where(retrieval.passes(jurisdictions=REGIONS))
+
+
+def _index(spark, d, some=False):
+    return _once(spark, d, f"index {some}", lambda: lexical.build_index(_some(_store(spark, d)) if some else _store(spark, d), staging_path(spark, "index")))
+
+
 def _asked(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     return table(spark, d, "eval_queries").join(vectors, "query_id", "left")
 
 
 def _vectors(spark, d):
-    return dense.usable(table(spark, d, "chunk_vectors")).select("id", "embedding").dropDuplicates(["id"])
+    def build():
+        rows = dense.usable(table(spark, d, "chunk_vectors")).select("id", "embedding", F.lit("given").alias("embedder")).join(_store(spark, d).select("id", "ord"), "id")
+        stores.write_vectors(rows, at := staging_path(spark, "vectors"))
+        return at
+
+    return stores.read_vectors(spark, _once(spark, d, "vectors", build), "given")
 
 
 def _joined(values, sep="|"):
@@ -68,12 +94,12 @@ def manifest_store(spark, d):
 
 def bm25_index(spark, d):
     """Document frequency and idf of every term of the store."""
-    return lexical.term_table(_store(spark, d)).select("term", "df", F.round("raw_idf", 6).alias("raw_idf"), F.round("idf", 6).alias("idf"))
+    return _index(spark, d).terms.select("term", "df", F.round("raw_idf", 6).alias("raw_idf"), F.round("idf", 6).alias("idf"))
 
 
 def bm25_stats(spark, d):
     """Number of chunks and their mean length."""
-    return lexical.collection_stats(_store(spark, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return _index(spark, d).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def _ranked(df):
@@ -82,18 +108,18 @@ def _ranked(df):
 
 def bm25_topk(spark, d):
     """The 24 best chunks of every probe by BM25."""
-    return _ranked(lexical.bm25_topk(table(spark, d, "eval_queries"), _store(spark, d)))
+    return _ranked(lexical.bm25_topk(table(spark, d, "eval_queries"), _index(spark, d)))
 
 
 def bm25_zero_padding(spark, d):
     """BM25 of queries that match few chunks or none: filled up in store order."""
     odd = spark.createDataFrame([(1, "zzzunmatched"), (2, "freezer zzzunmatched freezer"), (3, "  "), (4, None), (5, "xj 1143")], "query_id bigint, text string")
-    return _ranked(lexical.bm25_topk(odd, _store(spark, d)))
+    return _ranked(lexical.bm25_topk(odd, _index(spark, d)))
 
 
 def _dense(spark, d):
     asked = _asked(spark, d).where(~T.is_blank(F.col("text")))
-    return dense.knn_topk(asked, _vectors(spark, d).join(_store(spark, d).select("id", "ord"), "id"))
+    return dense.knn_topk(asked, _vectors(spark, d))
 
 
 def dense_topk(spark, d):
@@ -103,12 +129,12 @@ def dense_topk(spark, d):
 
 def rrf(spark, d):
     """Fusion of the dense and the lexical list of every probe."""
-    lists = _dense(spark, d).select("query_id", F.lit(0).alias("list_no"), "rank", "id").unionByName(lexical.bm25_topk(table(spark, d, "eval_queries"), _store(spark, d)).select("query_id", F.lit(1).alias("list_no"), "rank", "id"))
+    lists = _dense(spark, d).select("query_id", F.lit(0).alias("list_no"), "rank", "id").unionByName(lexical.bm25_topk(table(spark, d, "eval_queries"), _index(spark, d)).select("query_id", F.lit(1).alias("list_no"), "rank", "id"))
     return fusion.fuse(lists, 24).select("query_id", F.col("place").cast("bigint").alias("place"), "id", F.round("fused", 9).alias("fused"))
 
 
 def _hits(spark, d, **kw):
-    return retrieval.hybrid_retrieve(_asked(spark, d), _store(spark, d), _vectors(spark, d), **kw)
+    return retrieval.hybrid_retrieve(_asked(spark, d), _store(spark, d), _vectors(spark, d), _index(spark, d), **kw)
 
 
 def _shown(hits):
@@ -132,7 +158,8 @@ def hybrid_jurisdiction(spark, d):
 
 def hybrid_prefilter(spark, d):
     """Hybrid retrieval among the chunks of some jurisdictions only."""
-    return _shown(_hits(spark, d, jurisdictions=REGIONS, prefilter=True))
+    some = _some(_store(spark, d))
+    return _shown(retrieval.hybrid_retrieve(_asked(spark, d), some, _vectors(spark, d).join(some.select("id"), "id", "left_semi"), _index(spark, d, some=True)))
 
 
 def eval_probes(spark, d):
@@ -144,12 +171,7 @@ def eval_probes(spark, d):
 def retrieval_metrics(spark, d):
     """Recall, precision and reciprocal rank; relevant is a chunk that holds the probe's first 24 characters."""
     q = table(spark, d, "eval_queries").where(~T.is_blank(F.col("text"))).select("query_id", F.substring("text", 1, 24).alias("needle"))
-    n_blocks = max(1, -(-q.count() // evaluate_bound()))
-    gold = None
-    for b in range(n_blocks):
-        own = F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b))
-        found = _store(spark, d).select("id", "text").join(own, F.contains(F.col("text"), F.col("needle"))).select("query_id", "id")
-        gold = found if gold is None else gold.union(found)
+    gold = evaluate.holding(_store(spark, d).select("id", "text"), q)
     m = evaluate.retrieval_metrics(_hits(spark, d), gold)
     return m.select("query_id", F.round("recall_at_k", 6).alias("recall_at_k"), F.round("precision_at_k", 6).alias("precision_at_k"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
 
@@ -173,7 +195,7 @@ def list_jurisdictions(spark, d):
 def jurisdiction_options(spark, d):
     """Display label of every raw jurisdiction of the store."""
     raw = table(spark, d, "chunks").select(F.col("metadata.jurisdiction").alias("raw")).where("raw is not null").distinct()
-    return raw.select("raw", inventory.option_label(F.col("raw")).alias("label"))
+    return raw.select("raw", inventory.option_label(F.col("raw"), LABELS).alias("label"))
 
 
 def jurisdiction_filters(spark, d):
@@ -184,7 +206,19 @@ def jurisdiction_filters(spark, d):
 
 def browse_region(spark, d):
     """First chunks of a region, with the total."""
-    return inventory.browse(_store(spark, d), "HK", 25)
+    shown = inventory.browse(_store(spark, d), "HK", list(LABELS), 25)
+    return shown.withColumns({"text": F.md5("text"), "jurisdictions": _joined("jurisdictions"), "page": F.col("page").cast("string")})
+
+
+def label_codes(spark, d):
+    """Codes of the labels chosen on display, for every inventory row."""
+    shown = F.transform(F.filter("jurisdiction", lambda x: x.isNotNull()), lambda x: inventory.option_label(x, LABELS))
+    return table(spark, d, "inventory").select("pos", _joined(inventory.codes_of_labels(shown, LABELS)).alias("codes"))
+
+
+def store_counts(spark, d):
+    """Number of chunks and of inventory rows."""
+    return inventory.counts(_store(spark, d), table(spark, d, "inventory"))
 
 
 def source_links(spark, d):
@@ -235,8 +269,7 @@ def ingest_summary(spark, d):
 
 def study_type(spark, d):
     """Study kind of every document."""
-    s = classify.study_scores(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", classify.study_type(F.col("text")).alias("study_type"), F.greatest(*s.values()).cast("bigint").alias("best_score"))
+    return table(spark, d, "documents").select("doc_id", classify.study(F.col("text")).alias("s")).select("doc_id", "s.study_type", F.col("s.best_score").cast("bigint").alias("best_score"))
 
 
 def keyword_gap(spark, d):
@@ -371,20 +404,80 @@ def chat_prompt(spark, d):
     return p.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
 
 
-def stream_ingest(spark, d):
-    """Documents read as a stream, chunked and appended to a store; the store's rows."""
-    import uuid
+def _document_pages(docs):
+    """``documents`` as pages of one file each, numbered by ``doc_id``."""
+    path = F.concat(F.lit("/corpus/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return docs.select(path.alias("path"), F.lit(0).alias("page"), "text", "category", "jurisdiction", "document_id", F.lit(None).cast("string").alias("framework"), F.col("doc_id").alias("doc_no"))
+
 
-    from lexloom.session import shared_dir
-    from lexloom.streaming.ingest import chunk_stream, document_stream, start_ingest
+def _stored(rows):
+    return rows.select("id", "ord", F.md5("text").alias("text_md5"), "source", "source_path", F.col("page").cast("bigint").alias("page"), "category", _joined("jurisdictions").alias("jurisdictions"), "document_id")
 
-    at = f"{shared_dir(spark)}/lexloom-stream-{uuid.uuid4().hex}"
+
+def stream_ingest(spark, d):
+    """Documents read as a stream, chunked and appended to a chunk store; the store's rows."""
+    at = staging_path(spark, "stream")
     schema = table(spark, d, "documents").schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(d if not _is_folder(d) else f"{d}/documents.parquet")
     docs = docs.where(F.col("_metadata.file_path").contains("/documents.parquet"))
-    start_ingest(chunk_stream(docs, ["doc_id"]), f"{at}/store", f"{at}/checkpoint").awaitTermination()
-    stored = spark.read.schema("doc_id bigint, window_ix int, start int, chunk_text string").parquet(f"{at}/store")
-    return stored.select("doc_id", F.col("window_ix").cast("bigint").alias("chunk_ix"), F.length("chunk_text").cast("bigint").alias("n_chars"))
+    start_ingest(_document_pages(docs), f"{at}/store", f"{at}/checkpoint").awaitTermination()
+    return _stored(stores.read_store(spark, f"{at}/store"))
+
+
+def ingest_store(spark, d):
+    """A source's documents as the pages of one file, taken into a chunk store; the store's rows."""
+    name = F.concat(F.lit("/corpus/"), F.regexp_replace(F.lower("source"), "[^a-z]+", "-"), F.lit(".txt"))
+    pages = table(spark, d, "documents").where("source is not null").select(name.alias("path"), F.col("doc_id").cast("int").alias("page"), "text", "category", "jurisdiction", "document_id")
+    about = pages.groupBy("path").agg(*(F.min(c).alias(c) for c in ("category", "jurisdiction", "document_id")), F.lit(None).cast("string").alias("framework"))
+    at = ingest.Store(staging_path(spark, "store"))
+    ingest.add_chunks(ingest.chunk_rows(pages, numbered(about, ["path"], "position"), 0), at)
+    return _stored(stores.read_store(spark, at.chunks))
+
+
+def ingest_batch(spark, d):
+    """Status and chunks of every inventory row, its files' pages being the store's records of the same path."""
+    pages = _store(spark, d).where("source_path is not null").select(F.col("source_path").alias("path"), F.col("ord").cast("int").alias("page"), "text")
+    done = ingest.ingest_batch(table(spark, d, "inventory"), pages, ingest.Store(staging_path(spark, "store")), force=True)
+    return done.select("pos", "document_id", "status", "chunks")
+
+
+def _answered(spark, d):
+    """Texts, hits and answers made of the report lines: a report's text is its lines, its hits are the stored chunks
+    they cite; the first answer holds all lines (and a wrong citation in every fifth report), the second the sound ones.
+    In every fifth report the model failed, in every fifth nothing was retrieved."""
+    lines = table(spark, d, "recommendations").select("report_id", "rec_no", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("evidence_chunk_ids", F.array().cast("array<string>")).alias("ids"))
+    listed = lambda x: F.sort_array(F.collect_list(x))
+    texts = lines.groupBy("report_id").agg(listed(F.struct("rec_no", "text")).alias("x")).select("report_id", F.array_join(F.transform("x", lambda v: v["text"]), " ").alias("text"), F.when(F.col("report_id") % 5 == 3, "offline").alias("error"))
+    store = _store(spark, d).select("id", F.col("text").alias("chunk_text"))
+    cited = lines.where("report_id % 5 <> 4").select("report_id", "rec_no", F.posexplode("ids").alias("at", "id")).groupBy("report_id", "id").agg(F.min(F.col("rec_no") * 1000 + F.col("at")).alias("place"))
+    hits = cited.join(store, "id").select("report_id", "place", "id", F.col("chunk_text").alias("text"))
+    known = lines.select("report_id", "rec_no", F.explode("ids").alias("id")).join(hits.select("report_id", "id"), ["report_id", "id"], "left_anti").select("report_id", "rec_no").distinct().withColumn("wrong", F.lit(True))
+    marked = lines.join(known, ["report_id", "rec_no"], "left").withColumn("sound", F.col("wrong").isNull() & (F.size("ids") > 0) & ~T.is_blank(F.col("text")))
+    item = F.to_json(F.struct("text", F.col("ids").alias("evidence_chunk_ids")))
+    each = marked.groupBy("report_id").agg(listed(F.struct("rec_no", item.alias("j"))).alias("every"), listed(F.when(F.col("sound"), F.struct("rec_no", item.alias("j")))).alias("good"))
+    body = lambda c: F.concat(F.lit('"recommendations":['), F.array_join(F.transform(c, lambda v: v["j"]), ","), F.lit("]}"))
+    head = F.lit('{"status":"Compliant","study_type":"given","missing_elements":["cloud"],')
+    wrong = F.when(F.col("report_id") % 5 == 1, F.lit('"citations":[{"chunk_id":"nowhere"}],')).otherwise("")
+    one = each.select("report_id", F.lit(1).alias("attempt"), F.concat(head, wrong, body("every")).alias("raw"))
+    two = each.select("report_id", F.lit(2).alias("attempt"), F.concat(F.lit("Sure: "), head, body("good"), F.lit(" done")).alias("raw"))
+    return texts, hits, one.union(two)
+
+
+def check_reports(spark, d):
+    """Final reports of raw answers: salvage, audit, overlap, attempts, and reports without a model."""
+    r = check.check_reports(*_answered(spark, d), min_overlap=0.3)
+    recs = F.array_join(F.transform("recommendations", lambda x: F.concat(x["text"], F.lit(" "), F.array_join(x["evidence_chunk_ids"], "|"))), "\n")
+    return r.select("report_id", "made_by", "study_type", "status", "grounding_ok", F.size("issues").cast("bigint").alias("n_issues"), "allowed_chunk_count", "recommendation_count", "grounding_attempts", "dropped_all", F.when(F.col("made_by") == "model", F.md5(recs)).alias("recommendations_md5"))
+
+
+def audit_empty_reports(spark, d):
+    """Audit and overlap counts where some reports have no recommendation, or ones that can't be read."""
+    reports = table(spark, d, "eval_queries").select((-F.col("query_id")).alias("report_id"), (F.col("query_id") % 3 == 0).alias("unparsed"))
+    recs = table(spark, d, "recommendations")
+    reports = reports.union(recs.select("report_id", F.lit(False)).distinct())
+    a = grounding.audit(recs, _store(spark, d).select("id"), reports=reports)
+    s = grounding.overlap_stats(grounding.overlap_filter(_recall(spark, d), 0.3), 0.3, reports)
+    return a.join(s, "report_id").select("report_id", "ok", F.size("issues").cast("bigint").alias("n_issues"), "allowed_chunk_count", "recommendation_count", "input_count", "kept_count", "dropped_all", F.round(F.aggregate("kept", F.lit(0.0), lambda t, x: t + x["overlap_score"]), 3).alias("kept_scores"))
 
 
 def _is_folder(d: str) -> bool:
@@ -393,17 +486,12 @@ def _is_folder(d: str) -> bool:
     return os.path.isdir(os.path.join(d, "documents.parquet"))
 
 
-def evaluate_bound() -> int:
-    """Probes a substring search may take at once."""
-    return dense.BLOCK
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         tokens, token_stats, chunks, chunk_ids, manifest_store, bm25_index, bm25_stats, bm25_topk, bm25_zero_padding, dense_topk, rrf, hybrid, hybrid_category, hybrid_jurisdiction, hybrid_prefilter,
-        eval_probes, retrieval_metrics, evidence_pack, chunk_cards, list_jurisdictions, jurisdiction_options, jurisdiction_filters, browse_region, source_links, corpus_listing, corpus_region,
+        eval_probes, retrieval_metrics, evidence_pack, chunk_cards, list_jurisdictions, jurisdiction_options, jurisdiction_filters, browse_region, label_codes, store_counts, source_links, corpus_listing, corpus_region,
         inventory_by_tier, batch_selection, batch_selection_tier, ingest_results, ingest_summary, study_type, keyword_gap, fallback_report, fallback_recommendations, fallback_citations,
-        token_recall, overlap_filter, overlap_stats, grounding_audit, citation_audit, normalise_recs, report_salvage, final_attempts, review_flags, chat_window, chat_prompt, stream_ingest,
+        token_recall, overlap_filter, overlap_stats, grounding_audit, citation_audit, normalise_recs, report_salvage, final_attempts, review_flags, chat_window, chat_prompt, stream_ingest, ingest_store, ingest_batch, check_reports, audit_empty_reports,
     )
 }

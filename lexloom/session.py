@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Session settings every entry point uses. Partition counts are left to AQE.
 DEFAULTS = {
@@ -35,19 +37,22 @@ def build_session(app: str = "lexloom", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a single machine) a temporary
-    folder of this machine is used instead.
+    Where that setting is absent, a temporary folder of this machine serves a local master (tests); on a
+    cluster, whose executors don't share it, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(shared_dir, "_own", None)
     if own is None:
         own = shared_dir._own = "file://" + tempfile.mkdtemp(prefix="lexloom-")
     return own
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder, if it is there."""
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -56,17 +61,41 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/lexloom-{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs at most the tasks it was running.
-    The table is removed when the driver ends.
+    The table is removed when the driver ends, or by ``unstage``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexloom-{name}-{uuid.uuid4().hex}"
+    path = staging_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove a table of ``staged`` that nothing will read any more."""
+    remove(df.sparkSession, df._staged)
+
+
+def numbered(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
+    """``df`` with its place in the order of the given columns, from 0, without sending all rows to one task:
+    rows are sorted in ranges, each range numbers its own, and the few ranges' sizes give where each begins."""
+    n_ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sorted_rows = df.repartitionByRange(n_ranges, *order).sortWithinPartitions(*order)
+    local = staged(sorted_rows.withColumns({"__range": F.spark_partition_id(), "__nth": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    sizes = local.groupBy("__range").agg(F.count("*").alias("n"))
+    begins = sizes.withColumn("__begin", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return local.join(F.broadcast(begins), "__range").withColumn(name, F.col("__begin") + F.col("__nth")).drop("__range", "__nth", "__begin")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import strip, unified_newlines
@@ -13,10 +13,17 @@ from lexloom.functions.text import strip, unified_newlines
 PAGES = "path string, page int, text string"
 
 
+def plain_path(path: Column, encoded: bool = False) -> Column:
+    """A file's path as callers write it: without the scheme of local files, and decoded where Spark percent-encodes it."""
+    if encoded:
+        path = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def text_pages(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """``(path, page, text)``: every file is page 0; bad bytes become U+FFFD, CR LF and CR become LF."""
     raw = spark.read.text(paths, wholetext=True)
-    return raw.select(F.input_file_name().alias("path"), F.lit(0).alias("page"), unified_newlines(F.col("value")).alias("text"))
+    return raw.select(plain_path(F.col("_metadata.file_path"), encoded=True).alias("path"), F.lit(0).alias("page"), unified_newlines(F.col("value")).alias("text"))
 
 
 def pdf_pages(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -32,7 +39,7 @@ def pdf_pages(spark: SparkSession, paths: list[str] | str) -> DataFrame:
             rows = [(path, n, page.extract_text() or "") for path, content in zip(pdf["path"], pdf["content"]) for n, page in enumerate(PdfReader(io.BytesIO(content)).pages, 1)]
             yield pd.DataFrame(rows, columns=["path", "page", "text"])
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(pages, PAGES)
+    return spark.read.format("binaryFile").load(paths).select(plain_path(F.col("path")).alias("path"), "content").mapInPandas(pages, PAGES)
 
 
 def document_pages(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -80,11 +87,38 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_inventory(inventory: DataFrame, path: str, updated: str | None = None) -> None:
-    """Write inventory rows, a small control table, as YAML in their order."""
+    """Write inventory rows, a small control table, as YAML in their order.
+
+    Over an existing inventory the rows change the documents at the same positions: keys that are no column,
+    of documents and of the file, its ``version`` too, stay as they are.
+    """
     import yaml
 
-    rows = [{k: v for k, v in r.asDict().items() if k != "pos"} for r in inventory.orderBy("pos").toLocalIterator()]
-    Path(path).write_text(HEADER + yaml.safe_dump({"version": "1", "updated": updated, "documents": rows}, sort_keys=False, allow_unicode=True), encoding="utf-8")
+    old = (yaml.safe_load(Path(path).read_text(encoding="utf-8")) if Path(path).exists() else None) or {}
+    held = old.get("documents") or []
+    documents = []
+    for r in inventory.orderBy("pos").toLocalIterator():
+        row = r.asDict()
+        pos = row.pop("pos")
+        before = held[pos] if pos is not None and pos < len(held) else {}
+        documents.append({**before, **{k: v for k, v in row.items() if v is not None or k in before or not before}})
+    data = {"version": "1", "updated": None, **old, "documents": documents}
+    if updated is not None or not old:
+        data["updated"] = updated
+    Path(path).write_text(HEADER + yaml.safe_dump(data, sort_keys=False, allow_unicode=True), encoding="utf-8")
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines, a file a task; non-ASCII text stays as it is, nulls are written."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def json_text(value) -> str:
+    """A small result (one report, a summary) as indented JSON text."""
+    import json
+
+    plain = lambda v: v.asDict(True) if hasattr(v, "asDict") else str(v)
+    return json.dumps(value, indent=2, ensure_ascii=False, default=plain)
 
 
 def resolve_path(raw: str, manifest_path: str) -> str:

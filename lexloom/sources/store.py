@@ -6,22 +6,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "id string, ord bigint, text string, source string, source_path string, page int, category string, jurisdictions array<string>, document_id string, framework string"
-#: Codes of one store come from one embedding model; the vector table names it.
-VECTOR_SCHEMA = "id string, embedding array<float>, embedder string"
+#: Vectors carry their chunk's place, so retrieval needs no join for it. Vectors of one store come from one embedder.
+VECTOR_SCHEMA = "id string, ord bigint, embedding array<float>, embedder string"
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Chunk rows of a store; an absent store is empty."""
+    """Chunk rows of a store, also of the folders that streams add; an absent store is empty."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], SCHEMA)
-    return spark.read.schema(SCHEMA).parquet(path)
+    return spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+
+
+def _fitting(rows: DataFrame, schema: str, what: str) -> DataFrame:
+    """``rows`` with exactly the columns of the schema; refuses rows that lack one or have it in another type."""
+    wanted = [c.split(" ", 1) for c in schema.split(", ")]
+    have = dict(rows.dtypes)
+    wrong = [f"{name} {kind} (not {have.get(name, 'there')})" for name, kind in wanted if have.get(name) != kind]
+    if wrong:
+        raise ValueError(f"these are no {what} rows; wanted: " + ", ".join(wrong))
+    return rows.select(*(name for name, _ in wanted))
 
 
 def write_store(chunks: DataFrame, path: str, reset: bool = False) -> None:
-    """Append to a store, or replace it."""
-    chunks.write.mode("overwrite" if reset else "append").parquet(path)
+    """Append chunk rows to a store, or replace it. Rows that aren't of ``SCHEMA`` are refused."""
+    _fitting(chunks, SCHEMA, "chunk").write.mode("overwrite" if reset else "append").parquet(path)
+
+
+def write_vectors(vectors: DataFrame, path: str, reset: bool = False) -> None:
+    """Append vectors to a store, or replace them; one row an id, refused unless of ``VECTOR_SCHEMA``."""
+    _fitting(vectors, VECTOR_SCHEMA, "vector").dropDuplicates(["id"]).write.mode("overwrite" if reset else "append").parquet(path)
+
+
+def next_place(spark: SparkSession, path: str) -> int:
+    """First document number after those of a store: places are ``number * 2^32 + chunk``."""
+    last = read_store(spark, path).agg(F.max("ord")).first()[0]
+    return 0 if last is None else (last >> 32) + 1
 
 
 def read_vectors(spark: SparkSession, path: str, embedder: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from lexloom.operators.chunking import OVERLAP, SIZE, overlap_chunks
+from lexloom.operators.chunking import OVERLAP, SIZE, file_chunks
+from lexloom.sources import store
 
 
 def document_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
@@ -13,12 +16,16 @@ def document_stream(spark: SparkSession, path: str, schema: str, fmt: str = "par
     return spark.readStream.schema(schema).format(fmt).load(path)
 
 
-def chunk_stream(documents: DataFrame, keep: list[str], text_col: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Windows of every arriving document: the batch operator as it is, stateless, so any trigger will do."""
-    return overlap_chunks(documents, keep, text_col, size, overlap)
+def start_ingest(documents: DataFrame, at: str, checkpoint: str, once: bool = True, size: int = SIZE, overlap: int = OVERLAP) -> StreamingQuery:
+    """Append the chunks of arriving ``documents(path, page, text, category, jurisdiction, document_id, framework,
+    doc_no)`` to a chunk store, in its own schema. A file arrives whole, with a number of its own (``doc_no``), which gives
+    its chunks their places. Each batch's rows go to a folder named by the stream and the batch, written anew if the batch
+    is run again, so a batch that failed half-way leaves nothing twice."""
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
+    def add(batch: DataFrame, number: int) -> None:
+        rows = file_chunks(batch, size, overlap).select(*(c.split(" ")[0] for c in store.SCHEMA.split(", ")))
+        store.write_store(rows, f"{at}/stream-{stream}-{number:09}", reset=True)
 
-def start_ingest(chunks: DataFrame, store: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append the chunks to a Parquet store, each document exactly once."""
-    writer = chunks.writeStream.format("parquet").option("path", store).option("checkpointLocation", checkpoint).outputMode("append")
+    writer = documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import graph, inventory
+from lexloom.session import numbered, shared_dir
 from lexloom.sources import files, store
 from lexloom.streaming import ingest
 
@@ -14,12 +15,17 @@ def inv(spark, *rows):
 
 
 def test_primary_jurisdiction(spark):
-    rows = inv(spark, {"jurisdiction": ["GA4GH", "INTL"]}, {"jurisdiction": ["INTL"]}, {"jurisdiction": []}, {"jurisdiction": None}, {"jurisdiction": ["intl", " ", "eu "]})
-    assert [r[0] for r in rows.orderBy("pos").select(inventory.primary_jurisdiction(F.col("jurisdiction"))).collect()] == ["GA4GH", "INTL", None, None, "EU"]
+    rows = inv(spark, {"jurisdiction": ["ORG", "INTL"]}, {"jurisdiction": ["INTL"]}, {"jurisdiction": []}, {"jurisdiction": None}, {"jurisdiction": ["intl", " ", "eu "]})
+    assert [r[0] for r in rows.orderBy("pos").select(inventory.primary_jurisdiction(F.col("jurisdiction"))).collect()] == ["ORG", "INTL", None, None, "EU"]
 
 
 def test_option_labels(spark):
-    assert [r[0] for r in spark.createDataFrame([(" sg",), ("XX",)], "c string").select(inventory.option_label(F.col("c"))).collect()] == ["SG — Singapore — PDPA, HBRA, Health Information Bill", "XX"]
+    names = {"SG": "Singapore", "AA": "first"}
+    df = spark.createDataFrame([(" sg",), ("XX",), (None,)], "c string")
+    assert [r[0] for r in df.select(inventory.option_label(F.col("c"), names)).collect()] == ["SG — Singapore", "XX", None]
+    assert [r[0] for r in df.select(inventory.option_label(F.col("c"), {})).collect()] == ["SG", "XX", None]
+    chosen = spark.createDataFrame([(["AA — first", "SG — Singapore", "zz ", "sg", None],)], "c array<string>")
+    assert chosen.select(inventory.codes_of_labels(F.col("c"), names)).first()[0] == ["AA", "SG", "ZZ"]
 
 
 def test_selection_and_results(spark):
@@ -44,13 +50,13 @@ def test_listing(spark):
 
 
 def chunks(spark):
-    return spark.createDataFrame([(f"c{i}", i, "t", "cat", 0, [["HK"], ["hk ", "EU"], None, []][i % 4], "doc" if i else None) for i in range(8)], "id string, ord bigint, text string, category string, page int, jurisdictions array<string>, document_id string")
+    return spark.createDataFrame([(f"c{i}", i, "t", "cat", 0, [["HK"], ["hk ", "EU"], None, []][i % 4], "doc" if i else None) for i in range(8)], "id string, ord bigint, text string, category string, page int, jurisdictions array<string>, document_id string").selectExpr("*", "'s' as source", "'p' as source_path", "cast(null as string) as framework")
 
 
 def test_browse_and_links(spark):
-    r = inventory.browse(chunks(spark), "hk", 3).collect()
+    r = inventory.browse(chunks(spark), "hk", ["HK", "EU"], 3).collect()
     assert [x["id"] for x in r] == ["c0", "c1", "c4"] and r[0]["total"] == 4
-    for bad in (("XX", 3), ("HK", 0), ("HK", 81)):
+    for bad in (("XX", ["HK"], 3), ("HK", ["HK"], 0), ("HK", ["HK"], 81)):
         with pytest.raises(ValueError):
             inventory.browse(chunks(spark), *bad)
     assert {x[0] for x in inventory.distinct_jurisdictions(chunks(spark)).collect()} == {"HK", "EU"}
@@ -86,6 +92,9 @@ def test_inventory_file(spark, tmp_path):
     rows = files.read_inventory(spark, str(p))
     files.write_inventory(rows, str(p))
     assert files.read_inventory(spark, str(p)).first()["jurisdiction"] == ["EU"]
+    p.write_text(yaml.safe_dump({"version": "7", "updated": "u", "owner": "me", "documents": [{"document_id": "d", "extra": [1], "ingested_at": None}, {"document_id": "e"}]}))
+    files.write_inventory(files.read_inventory(spark, str(p)).withColumn("ingested_at", F.when(F.col("pos") == 0, "now")), str(p), "later")
+    assert yaml.safe_load(p.read_text()) == {"version": "7", "updated": "later", "owner": "me", "documents": [{"document_id": "d", "extra": [1], "ingested_at": "now"}, {"document_id": "e"}]}
     for bad in ("[1]", "documents: 3"):
         p.write_text(bad)
         with pytest.raises(ValueError):
@@ -102,21 +111,50 @@ def test_store_round_trip(spark, tmp_path):
     store.write_store(row, at, reset=True)
     assert store.read_store(spark, at).count() == 1
     v = str(tmp_path / "v")
-    spark.createDataFrame([("a", [1.0], "m1")], store.VECTOR_SCHEMA).write.parquet(v)
+    store.write_vectors(spark.createDataFrame([("a", 0, [1.0], "m1"), ("a", 0, [1.0], "m1")], store.VECTOR_SCHEMA), v)
     assert store.read_vectors(spark, v, "m1").count() == 1
     with pytest.raises(ValueError):
         store.read_vectors(spark, v, "m2")
+    for bad in (row.drop("ord"), row.withColumn("jurisdictions", F.lit("EU")), row.withColumn("page", F.lit("1"))):
+        with pytest.raises(ValueError, match="chunk rows"):
+            store.write_store(bad, at)
+    assert store.read_store(spark, at).count() == 1 and store.next_place(spark, at) == 1 and store.next_place(spark, str(tmp_path / "none")) == 0
 
 
 def test_stream(spark, tmp_path):
-    schema = "doc_id bigint, text string"
+    schema = "doc_no bigint, text string, path string, page int, category string, jurisdiction string, document_id string, framework string"
     src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
-    spark.createDataFrame([(1, "x" * 1000)], schema).write.parquet(src)
-    for more in (None, [(2, "y"), (3, None)]):
+    row = lambda n, text: (n, text, f"/d/{n}.txt", 0, None, "eu", None, None)
+    store.write_store(spark.createDataFrame([("old", 0, "t", "s", "p", 0, "c", ["SG"], None, None)], store.SCHEMA), out)
+    spark.createDataFrame([row(1, "x" * 1000)], schema).write.parquet(src)
+    for more in (None, [row(2, "y"), row(3, None)]):
         if more:
             spark.createDataFrame(more, schema).write.mode("append").parquet(src)
-        ingest.start_ingest(ingest.chunk_stream(ingest.document_stream(spark, src, schema), ["doc_id"]), out, ck).awaitTermination()
-    assert sorted((r["doc_id"], r["window_ix"]) for r in spark.read.parquet(out).collect()) == [(1, 0), (1, 1), (2, 0)]
+        ingest.start_ingest(ingest.document_stream(spark, src, schema), out, ck).awaitTermination()
+    got = store.read_store(spark, out).orderBy("ord").collect()
+    assert [(r["ord"] >> 32, r["ord"] % (1 << 32), r["category"], r["jurisdictions"]) for r in got] == [(0, 0, "c", ["SG"]), (1, 0, "1", ["EU"]), (1, 1, "1", ["EU"]), (2, 0, "2", ["EU"])]
+
+
+def test_numbered(spark):
+    rows = spark.range(5000).selectExpr("id", "cast(id * 7919 % 5000 as int) as k")
+    got = numbered(rows, ["k"]).collect()
+    assert len(got) == 5000 and all(r["pos"] == r["k"] for r in got)
+    assert numbered(rows.limit(0), ["k"]).count() == 0
+
+
+def test_intermediate_tables_need_a_shared_folder(spark, monkeypatch):
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Cluster.conf)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster)
+    monkeypatch.setattr(Cluster.sparkContext, "master", "local[2]")
+    assert shared_dir(Cluster).startswith("file:")
 
 
 def test_components(spark):

@@ -36,12 +36,3 @@ def test_query(spark, con, name):
     want = con.sql(SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
-
-
-def test_probes_beyond_a_block_count(spark, con, monkeypatch):
-    from lexloom.plans import registry
-
-    monkeypatch.setattr(registry, "evaluate_bound", lambda: 10)
-    got, want = QUERIES["retrieval_metrics"](spark, DATA), con.sql(SQL["retrieval_metrics"])
-    expected = rows(want.columns, want.fetchall())
-    assert expected and rows(got.columns, [tuple(r) for r in got.collect()]) == expected

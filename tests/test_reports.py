@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from lexloom.operators import classify, evidence, grounding
+from lexloom.plans import check
 
 REC = "report_id int, rec_no int, text string, evidence_chunk_ids array<string>"
 
@@ -36,6 +37,51 @@ def test_fallback_reports(spark):
     assert r[1]["grounding_ok"] and r[1]["grounding_attempts"] == 1 and len(r[1]["citations"]) == 2
     assert r[2]["status"] == "Unknown" and not r[2]["grounding_ok"] and r[2]["grounding_attempts"] == 0 and len(r[2]["recommendations"]) == 1
     assert len(r[3]["citations"]) == 5
+    assert r[1]["allowed_chunk_count"] == 2 and r[1]["recommendation_count"] == 3 and r[1]["overlap_skipped"] and not r[2]["overlap_skipped"] and len(r[2]["issues"]) == 1
+    bare = spark.createDataFrame([(1, [])], "report_id int, ids array<string>")
+    failed = texts.where("report_id = 1").selectExpr("*", "'no route' as error")
+    assert not classify.fallback_report(texts.where("report_id = 1"), bare).first()["grounding_ok"]
+    own = classify.fallback_report(failed, ids, advice=["one", ""], note_after_error="N").first()
+    assert own["notes"] == "N (no route)" and [y["text"] for y in own["recommendations"]] == ["one", ""] and own["issues"] == ["recommendations[1] has empty text."]
+
+
+def test_reports_without_recommendations(spark):
+    recs = spark.createDataFrame([(1, 0, "t", ["a"])], REC)
+    allowed = spark.createDataFrame([("a",), ("b",), ("a",)], "id string")
+    reports = spark.createDataFrame([(1, False), (2, False), (3, True)], "report_id int, unparsed boolean")
+    a = {r["report_id"]: r for r in grounding.audit(recs, allowed, reports=reports).collect()}
+    assert a[2]["ok"] and a[2]["recommendation_count"] == 0 and a[1]["allowed_chunk_count"] == a[2]["allowed_chunk_count"] == 2
+    assert a[3]["issues"] == [grounding.UNPARSED]
+    scored = grounding.token_recall(recs, spark.createDataFrame([("a", "t")], "id string, text string"))
+    s = {r["report_id"]: r for r in grounding.overlap_stats(grounding.overlap_filter(scored), reports=reports).collect()}
+    assert s[2]["input_count"] == 0 and not s[2]["dropped_all"] and s[2]["kept"] == [] and s[1]["kept"][0]["overlap_score"] == 1.0
+
+
+def checked(spark, answers, **kw):
+    texts = spark.createDataFrame([(i, "biobank data", "down" if i == 9 else None) for i in range(1, 10)], "report_id int, text string, error string")
+    hits = spark.createDataFrame([(i, 0, "a", "withdrawal of consent") for i in range(1, 10) if i != 8] + [(1, 1, "b", "other words")], "report_id int, place int, id string, text string")
+    given = spark.createDataFrame([(i, n, raw if isinstance(raw, str) else json.dumps(raw)) for i, n, raw in answers], "report_id int, attempt int, raw string")
+    return {r["report_id"]: r for r in check.check_reports(texts, hits, given, **kw).collect()}
+
+
+def test_check_from_raw_answers(spark):
+    good = {"status": "Compliant", "recommendations": [{"text": "explain withdrawal", "evidence_chunk_ids": ["a"]}, {"text": "zebra", "evidence_chunk_ids": ["a"]}], "citations": [{"chunk_id": "a", "reason": "r"}]}
+    off = {"recommendations": [{"text": "zebra", "evidence_chunk_ids": ["a"]}], "notes": "mine"}
+    unknown = {"recommendations": [{"text": "t", "evidence_chunk_ids": ["b"]}]}
+    r = checked(spark, [(1, 1, good), (2, 1, unknown), (2, 2, "So: " + json.dumps(good) + "."), (3, 1, off), (3, 2, off), (4, 1, {"recommendations": "junk"}), (4, 2, {"recommendations": []}), (5, 1, "nothing"), (6, 1, unknown), (6, 2, {**unknown, "citations": ["x"]}), (6, 3, good), (9, 1, good)])
+    assert len(r) == 9
+    assert r[1]["grounding_ok"] and r[1]["grounding_attempts"] == 1 and [(x["text"], x["overlap_score"]) for x in r[1]["recommendations"]] == [("explain withdrawal", 0.5)] and r[1]["dropped_count"] == 1 and r[1]["allowed_chunk_count"] == 2
+    assert r[1]["citations"][0]["reason"] == "r" and r[1]["study_type"] == "biobank" and r[1]["notes"] is None
+    assert r[2]["grounding_ok"] and r[2]["grounding_attempts"] == 2 and r[2]["allowed_chunk_count"] == 1
+    assert not r[3]["grounding_ok"] and r[3]["dropped_all"] and r[3]["grounding_attempts"] == 2 and r[3]["recommendations"] == [] and r[3]["notes"].startswith("mine ") and len(r[3]["issues"]) == 1
+    assert r[4]["grounding_ok"] and r[4]["grounding_attempts"] == 2 and r[4]["recommendation_count"] == 0
+    assert r[5]["grounding_ok"] and r[5]["parse_failed"] and r[5]["recommendations"] == []
+    assert not r[6]["grounding_ok"] and r[6]["grounding_attempts"] == 2 and r[6]["issues"] == ["Invalid evidence_chunk_ids (not in retrieved set): ['b']", "citations[0] is not an object."] and r[6]["recommendations"][0]["text"] == "t"
+    assert r[7]["made_by"] == "keywords" and r[7]["grounding_ok"] and r[8]["made_by"] == "empty store" and not r[8]["grounding_ok"] and r[8]["grounding_attempts"] == 0
+    assert r[9]["made_by"] == "keywords" and "(down)" in r[9]["notes"]
+    lax = checked(spark, [(4, 1, {"recommendations": "junk"})], flag_unparsed=False)[4]
+    assert lax["grounding_ok"] and lax["parse_warning"] and lax["grounding_attempts"] == 1
+    assert not checked(spark, [(4, 1, {"recommendations": "junk"})], max_attempts=1)[4]["grounding_ok"]
 
 
 def items(spark, value):
@@ -64,7 +110,7 @@ def test_salvage(spark):
         assert x["status"] == "Unknown" and x["recommendations"] == [] and x["parse_failed"], raw
     assert not report(spark, None)["parse_failed"] and not report(spark, "{}")["parse_failed"]
     x = report(spark, '{"recommendations": "junk", "missing_elements": null}')
-    assert x["parse_warning"] and x["missing_elements"] == [] and x["recommendations"] == []
+    assert x["unparsed"] and x["missing_elements"] == [] and x["recommendations"] == []
 
 
 def test_recall_and_overlap(spark):
@@ -116,6 +162,8 @@ def test_evidence_budget(spark):
     p = {r["query_id"]: r for r in evidence.pack(df, 2 * size + 1).collect()}
     assert p[1]["n_chunks"] == 2 and p[1]["used_chars"] == 2 * size and p[1]["evidence"].count("\n\n") == 1
     assert p[2]["evidence"] == "[chunk_id=d source=? page=0 category=?]"
+    none = {r["query_id"]: r for r in evidence.pack(df, 45).collect()}
+    assert (none[1]["n_chunks"], none[1]["used_chars"], none[1]["evidence"]) == (0, 0, "") and none[2]["n_chunks"] == 1
 
 
 def test_chat_window_cuts_before_it_filters(spark):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import dense, evaluate, fusion, lexical, retrieval
+from lexloom.session import staging_path
 
 STORE = "id string, ord bigint, text string, category string, jurisdictions array<string>"
 
@@ -15,6 +16,10 @@ def store(spark, texts, **kw):
     return spark.createDataFrame([(f"c{i}", i, t, kw.get("category", {}).get(i, "faq"), kw.get("tags", {}).get(i)) for i, t in enumerate(texts)], STORE)
 
 
+def index(spark, s):
+    return lexical.build_index(s, staging_path(spark, "index"))
+
+
 def brute_bm25(texts, query, k=24):
     docs = [re.findall(r"[a-z0-9]+", (t or "").lower()) for t in texts]
     n, avg = len(docs), sum(map(len, docs)) / len(docs)
@@ -35,7 +40,7 @@ def test_bm25_equals_brute_force(spark):
     words = ["consent", "data", "biobank", "withdraw", "the", "of", "zebra", "gene", "x1"]
     texts = [" ".join(rng.choice(words[: rng.randint(1, 9)]) for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, "", "data data"]
     queries = [(1, "data consent data"), (2, "zebra"), (3, "nothing here"), (4, "the"), (5, " "), (6, None)]
-    got = lexical.bm25_topk(spark.createDataFrame(queries, "query_id bigint, text string"), store(spark, texts)).collect()
+    got = lexical.bm25_topk(spark.createDataFrame(queries, "query_id bigint, text string"), index(spark, store(spark, texts))).collect()
     for q, text in queries[:4]:
         rows = sorted((r["rank"], r["id"], r["score"]) for r in got if r["query_id"] == q)
         want = brute_bm25(texts, text)
@@ -45,14 +50,15 @@ def test_bm25_equals_brute_force(spark):
 
 
 def test_one_chunk_scores_below_zero(spark):
-    r = lexical.bm25_topk(spark.createDataFrame([(1, "alpha")], "query_id bigint, text string"), store(spark, ["alpha"])).collect()
+    one = index(spark, store(spark, ["alpha"]))
+    r = lexical.bm25_topk(spark.createDataFrame([(1, "alpha")], "query_id bigint, text string"), one).collect()
     assert len(r) == 1 and r[0]["score"] < 0
-    idf = lexical.term_table(store(spark, ["alpha"])).first()
+    idf = one.terms.first()
     assert round(idf["raw_idf"], 4) == -1.0986 and round(idf["idf"], 4) == -0.2747
 
 
 def test_negative_scores_rank_below_zero_padding(spark):
-    r = lexical.bm25_topk(spark.createDataFrame([(1, "a")], "query_id bigint, text string"), store(spark, ["a", "a", "a b", ""]), 4).orderBy("rank").collect()
+    r = lexical.bm25_topk(spark.createDataFrame([(1, "a")], "query_id bigint, text string"), index(spark, store(spark, ["a", "a", "a b", ""])), 4).orderBy("rank").collect()
     assert [x["id"] for x in r] == [w[0] for w in brute_bm25(["a", "a", "a b", ""], "a", 4)]
 
 
@@ -75,24 +81,16 @@ def test_dense_order_and_unusable_vectors(spark):
     assert dense.knn_topk(q.where("query_id = 2"), v, 24, 2).count() == 0
 
 
-def hybrid(spark, **kw):
+def hybrid(spark, prefilter=False, **kw):
     texts = [f"topic {i} consent" for i in range(30)] + ["rare narrow consent"]
     s = store(spark, texts, tags={30: ["eu"], 3: [" EU "], 4: ["SG", ""]}, category={30: "Minutes"})
-    v = spark.createDataFrame([(f"c{i}", [1.0, float(i)]) for i in range(31)], "id string, embedding array<float>")
+    v = spark.createDataFrame([(f"c{i}", i, [1.0, float(i)]) for i in range(31)], "id string, ord bigint, embedding array<float>")
     q = spark.createDataFrame([(1, "topic consent", [1.0, 0.0]), (2, "  ", [1.0, 0.0])], "query_id bigint, text string, embedding array<float>")
     kw.setdefault("top_k", 8)
-    return [(r["query_id"], r["id"], r["place"]) for r in retrieval.hybrid_retrieve(q, s, v, **kw).orderBy("query_id", "place").collect()]
-
-
-@pytest.fixture(autouse=True)
-def two_dimensions(monkeypatch):
-    original = dense.knn_topk
-    monkeypatch.setattr(retrieval, "knn_topk", lambda q, v, k=24, dim=64: original(q, v, k, 2 if q.schema["embedding"] and _short(q) else dim))
-
-
-def _short(q):
-    row = q.where("embedding is not null").first()
-    return row is not None and len(row["embedding"]) == 2
+    if prefilter:
+        s = s.where(retrieval.passes(kw.pop("category", None), kw.pop("jurisdictions", None)))
+        v = v.join(s.select("id"), "id", "left_semi")
+    return [(r["query_id"], r["id"], r["place"]) for r in retrieval.hybrid_retrieve(q, s, v, index(spark, s), dim=2, **kw).orderBy("query_id", "place").collect()]
 
 
 def test_filters_come_after_the_candidates(spark):
@@ -116,9 +114,42 @@ def test_bad_k(spark):
 
 def test_empty_store(spark):
     s = spark.createDataFrame([], STORE)
-    v = spark.createDataFrame([], "id string, embedding array<float>")
+    v = spark.createDataFrame([], "id string, ord bigint, embedding array<float>")
     q = spark.createDataFrame([(1, "a", [1.0, 0.0])], "query_id bigint, text string, embedding array<float>")
-    assert retrieval.hybrid_retrieve(q, s, v).count() == 0
+    assert retrieval.hybrid_retrieve(q, s, v, index(spark, s), dim=2).count() == 0
+
+
+def test_a_query_reads_no_text_and_one_plan_serves_many(spark):
+    texts = [f"word{i % 50} word{i % 7} filler" for i in range(300)]
+    at = index(spark, store(spark, texts))
+    q = spark.createDataFrame([(i, f"word{i % 60}") for i in range(700)], "query_id bigint, text string")
+    found = lexical.bm25_topk(q, at, 3)
+    plan = found._jdf.queryExecution().toString()
+    assert "text" not in "".join(x for x in plan.splitlines() if "FileScan" in x)
+    rows = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        rows.setdefault(r["query_id"], []).append(r["id"])
+    assert len(rows) == 700 and all(rows[i] == [x for x, _ in brute_bm25(texts, f"word{i % 60}", 3)] for i in range(0, 700, 41))
+
+
+def test_more_queries_than_are_sent_along(spark, monkeypatch):
+    rng = random.Random(2)
+    v = spark.createDataFrame([(f"v{i}", i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(90)], "id string, ord bigint, embedding array<float>")
+    q = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(25)], "query_id bigint, embedding array<float>")
+    want = sorted(tuple(r) for r in dense.knn_topk(q, v, 5, 4).collect())
+    monkeypatch.setattr(dense, "BLOCK", 7)
+    monkeypatch.setattr(dense, "SHARE", 20)
+    assert len(want) == 125 and sorted(tuple(r) for r in dense.knn_topk(q, v, 5, 4).collect()) == want
+
+
+def test_needles(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", "one two three"), ("b", None), ("c", "twothree"), ("d", "同意 two")], "id string, text string")
+    needles = spark.createDataFrame([(1, "two"), (2, "two t"), (3, ""), (4, None), (5, "意 t"), (6, "two"), (7, "zzz")], "query_id bigint, needle string")
+    want = {(1, "a"), (1, "c"), (1, "d"), (2, "a"), (5, "d"), (6, "a"), (6, "c"), (6, "d")}
+    assert {tuple(r) for r in evaluate.holding(rows, needles).collect()} == want
+    monkeypatch.setattr(evaluate, "NEEDLES", 2)
+    assert {tuple(r) for r in evaluate.holding(rows, needles).collect()} == want
+    assert evaluate.holding(rows, needles.limit(0)).count() == 0
 
 
 def test_metrics_and_probes(spark):
