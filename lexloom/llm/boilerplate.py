@@ -15,7 +15,13 @@ L / ``min_share`` nodes, L being its mean number of distinct lines a document:
 a bound that does not grow with D, which is why one source's kept graph may be
 handled by one task.
 
-Keys are compared by their 64-bit hash together with the source.
+Keys are compared by their 64-bit hash together with the source. Texts are read once: the keys and places of all lines
+are written as a table, from which nodes, edges and occurrences come.
+
+What is deleted is decided by the support of lines alone: every kept node is in a block, if only its own, so a
+repeated line goes also where it stands apart from the lines that usually surround it. Edges only say which lines belong
+to one block; a stricter rule (delete a line only beside its block's others) would leave single lines that are boilerplate
+by the definition above.
 
 Edge cases: rows with a null id are left out; rows that repeat an id are one record; a null source is no source,
 its records have no repeated lines; records with a null document count towards
@@ -28,6 +34,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.session import staged
+
 LINE_END = "\r\n|\r|\n"
 
 
@@ -58,7 +66,7 @@ def find_blocks(df: DataFrame, id_col: str = "id", text_col: str = "text", sourc
     smallest node of its component. ``found``: ``(id, line_no, source, block)``, a row per occurrence.
     """
     documents = df.where(f"{source_col} is not null and {doc_col} is not null").groupBy(F.col(source_col).alias("source")).agg(F.countDistinct(doc_col).alias("n_docs"))
-    lines = occurrences(df, id_col, text_col, source_col, doc_col, min_letters)
+    lines = staged(occurrences(df, id_col, text_col, source_col, doc_col, min_letters), "lines")
     nodes = _supported(lines, ["source", "node"], documents, min_docs, min_share)
     marked = lines.join(nodes.drop("support"), ["source", "node"]).groupBy("id", "line_no").agg(*(F.first(c).alias(c) for c in ("source", "doc", "seq", "node")))
     order = Window.partitionBy("id").orderBy("seq")
@@ -88,9 +96,10 @@ def find_blocks(df: DataFrame, id_col: str = "id", text_col: str = "text", sourc
 
 
 def remove_blocks(df: DataFrame, blocks: DataFrame, id_col: str = "id", text_col: str = "text", source_col: str = "source", *, min_letters: int = 3) -> DataFrame:
-    """``(id, text, n_removed)`` of every distinct id: the text without its source's block lines.
+    """``(id, text, n_removed)`` of every row: the text without its source's block lines.
 
-    Other lines keep their content; the line ends of what is left become LF where a line went, and
+    Rows that repeat an id, or have none, come out as they came in: whoever wants one row an id drops the others
+    before, by ids alone, so that no text is shuffled. Other lines keep their content; the line ends of what is left become LF where a line went, and
     stay as they are in texts that lose none. Null texts stay null.
     """
     wanted = blocks.groupBy("source").agg(F.collect_set("node").alias("nodes"))
@@ -99,5 +108,4 @@ def remove_blocks(df: DataFrame, blocks: DataFrame, id_col: str = "id", text_col
     kept = F.filter(F.split("text", LINE_END, -1), lambda line: ~((F.length(key(line)) >= min_letters) & F.array_contains("nodes", F.xxhash64(key(line)))))
     joined = rows.join(wanted, "source", "left").withColumn("kept", F.when(F.col("nodes").isNotNull(), kept))
     removed = F.coalesce(F.size(F.split("text", LINE_END, -1)) - F.size("kept"), F.lit(0))
-    out = joined.select("id", F.when(F.col("kept").isNotNull() & (removed > 0), F.array_join("kept", "\n")).otherwise(F.col("text")).alias("text"), F.when(F.col("kept").isNotNull(), removed).otherwise(0).alias("n_removed"))
-    return out.dropDuplicates(["id"])
+    return joined.select("id", F.when(F.col("kept").isNotNull() & (removed > 0), F.array_join("kept", "\n")).otherwise(F.col("text")).alias("text"), F.when(F.col("kept").isNotNull(), removed).otherwise(0).alias("n_removed"))

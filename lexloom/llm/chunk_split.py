@@ -10,11 +10,11 @@ the first sentence or else word start at most ``overlap`` before the cut that en
 where the next boundary is too far away for that, it begins later, at the cut itself if need be. Inside
 an unbreakable stretch the pieces share exactly ``overlap`` code points.
 
-Candidates are thinned to the best one in each ``GRID`` code points; places beside long stretches always
+Candidates are thinned to the best one in each ``grid`` code points (30; 1 keeps all and is exact); places beside long stretches always
 stay, and so do all between two places that would else be further apart than a piece, so a text that can be
 cut without a forced cut always is, and no piece is longer than ``size``. A run of marks without a base that
 is longer than a piece is cut before a mark. The work for a text of n code points is
-O(n * size / GRID^2).
+O(n * size / grid^2).
 
 Edge cases: null and blank texts give no piece, a short text one piece; ties between ways go to the
 earlier cut; repeated rows are cut alike; an empty table gives an empty table. Pieces never begin or end
@@ -90,7 +90,7 @@ def _forced_places(text: str, a: int, b: int, step: int, reach: int) -> list[int
     return out
 
 
-def boundaries(text: str, size: int = SIZE, overlap: int = OVERLAP) -> tuple[list[tuple[int, int, int]], list[int], list[int]]:
+def boundaries(text: str, size: int = SIZE, overlap: int = OVERLAP, grid: int = GRID) -> tuple[list[tuple[int, int, int]], list[int], list[int]]:
     """Candidate cuts ``(end, start, kind)`` in order: a piece may end at ``end``, the next text begins
     at ``start``. Beside them the sentence and line starts, and all word starts."""
     found: dict[tuple[int, int], int] = {}
@@ -114,19 +114,19 @@ def boundaries(text: str, size: int = SIZE, overlap: int = OVERLAP) -> tuple[lis
     tight: set[int] = set()  # starts and ends of stretches that leave little freedom
     for m in STRETCH.finditer(text):
         a, b = m.span()
-        if b - a > size - 2 * GRID:
+        if b - a > size - 2 * grid:
             tight |= {a, b}
             if a and text[a - 1] in MARKS:
                 found.setdefault((a, a), BEFORE)  # its closing signs alone may be too long for the mark's piece
         if b - a > size:
             reach = size - overlap if overlap < size else 1  # what a piece that begins with the overlap can hold
-            for k in _forced_places(text, a, b, min(GRID, reach), reach):
+            for k in _forced_places(text, a, b, min(grid, reach), reach):
                 found.setdefault((k, k), FORCED)
     whole = [(end, start, kind) for (end, start), kind in sorted(found.items())]
     whole.append((len(text), len(text), END))
     out: list[tuple[int, int, int]] = []
     for end, start, kind in whole[:-1]:
-        if out and end // GRID == out[-1][0] // GRID and not ({end, start} & tight or {out[-1][0], out[-1][1]} & tight):
+        if out and end // grid == out[-1][0] // grid and not ({end, start} & tight or {out[-1][0], out[-1][1]} & tight):
             if kind <= out[-1][2]:
                 out[-1] = (end, start, kind)
         else:
@@ -143,14 +143,19 @@ def boundaries(text: str, size: int = SIZE, overlap: int = OVERLAP) -> tuple[lis
     return out, sorted(good), sorted(fine)
 
 
-def split(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
+def split(text: str, size: int = SIZE, overlap: int = OVERLAP, grid: int = GRID) -> list[tuple[int, int, int]]:
     """Pieces ``(start, end, kind of the cut at the end)`` of a normalised text."""
+    return cheapest(text, size, overlap, grid)[0]
+
+
+def cheapest(text: str, size: int = SIZE, overlap: int = OVERLAP, grid: int = GRID) -> tuple[list[tuple[int, int, int]], float]:
+    """Pieces and what they cost: penalties, deviations from the even length, overlap given up."""
     n = len(text)
     if n == 0:
-        return []
+        return [], 0.0
     if n <= size:
-        return [(0, n, END)]
-    cuts, good, fine = boundaries(text, size, overlap)
+        return [(0, n, END)], 0.0
+    cuts, good, fine = boundaries(text, size, overlap, grid)
     # One way from the text's start to each cut: cost, cut before (-1: none), start of the piece.
     count = len(cuts)
     ends = [c[0] for c in cuts]
@@ -217,17 +222,17 @@ def split(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int
         out.append((began[j] if came[j] >= 0 else 0, ends[j], cuts[j][2]))
         j = came[j]
     assert all(e - s <= size for s, e, _ in out), "a piece is longer than the size"
-    return out[::-1]
+    return out[::-1], cost[-1]
 
 
-def split_records(df: DataFrame, id_col: str = "id", text_col: str = "text", page_col: str = "page", *, size: int = SIZE, overlap: int = OVERLAP, only_oversized: bool = False) -> DataFrame:
+def split_records(df: DataFrame, id_col: str = "id", text_col: str = "text", page_col: str = "page", *, size: int = SIZE, overlap: int = OVERLAP, grid: int = GRID, only_oversized: bool = False) -> DataFrame:
     """``(id, page, piece_no, n_pieces, start, end, cut, text)``: the pieces of every row.
 
     ``start`` and ``end`` are code points in the normalised text, ``cut`` the kind of boundary at the
     piece's end. With ``only_oversized`` rows of ``size`` code points or fewer are left out before Python.
     """
-    if size < 1 or not 0 <= overlap < size:
-        raise ValueError("size must be positive and overlap between 0 and size")
+    if size < 1 or not 0 <= overlap < size or grid < 1:
+        raise ValueError("size and grid must be positive and overlap between 0 and size")
     id_type, page_type = df.schema[id_col].dataType.simpleString(), df.schema[page_col].dataType.simpleString()
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(page_col).alias("page"), F.col(text_col).alias("text"))
     if only_oversized:
@@ -243,7 +248,7 @@ def split_records(df: DataFrame, id_col: str = "id", text_col: str = "text", pag
                     text = normalise(raw)
                     if only_oversized and len(text) <= size:
                         continue
-                    parts = split(text, size, overlap)
+                    parts = split(text, size, overlap, grid)
                     for k, (s, e, kind) in enumerate(parts):
                         row.append(i)
                         no.append(k)

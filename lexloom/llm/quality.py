@@ -1,9 +1,11 @@
 """Per-document text statistics, and documents that are lists, tables or junk instead of prose.
 
-Lines are judged on the whole text, as the rules look at whole blocks and runs of lines, however long they
-are. Words are counted as a stream where a text is longer than ``CHUNK`` code points, so that no list of all
-its words is held. A text is one row, so one task counts it; rows are spread over tasks. Figures of rows that
-repeat an id add up. Ratios and rules come from the sums.
+A text of more than ``chunk`` code points is cut into chunks, which are spread over tasks by (id, chunk number);
+shorter ones are counted where they lie, without a shuffle. Counts of chunks add up (partial sums by task, then by
+id), and ratios and rules come from the sums. So that the sums are exactly those of the whole text, a chunk ends
+only where nothing of the way lines are judged reaches across: behind blank lines that follow a line which
+ends any table or list (a long one, a sentence, or junk). That is the boundary state: it is empty there, for words, blocks,
+tables and lists alike. A stretch without such a place stays one chunk, however long.
 
 Lines are judged as follows. Junk: replacement characters, text decoded with the wrong encoding, mostly
 symbols, long unbroken strings, single scattered characters, log lines, menus, the same words over and
@@ -11,9 +13,12 @@ over, letters without the vowels of words, many words without a sentence and wit
 three or more lines in a row with the same separators. List: three or more lines in a row that are short
 and no sentences, unless they are wrapped prose.
 
+Words are runs of letters and digits; as Chinese and Japanese don't part words by spaces, each ideograph and each
+run of hiragana or of katakana is one.
+
 Edge cases: null and empty texts have zero counts, null ratios and no kind; blank lines count with the
-line before them; an empty table gives an empty table; other columns are ignored; equal texts get equal
-figures.
+line before them; figures of rows that repeat an id add up; an empty table gives an empty table; other columns
+are ignored; equal texts get equal figures.
 """
 
 from __future__ import annotations
@@ -38,9 +43,14 @@ COMMON = frozenset(
     le la les de des du un une et ou dans en pour par sur avec que qui ne pas est sont au aux ce cette selon
     el los las del y o en con por para que no se su al es son según una unos ante desde
     os das dos da do e um uma em com não se ao na no nos pelo pela são já
+    的 是 在 和 了 有 不 与 與 及 或 为 為 等 应 應 可 将 將 对 對 以 中 其 于 於 由 并 並 该 該 您 我 们 們 这 這 会 會 被
+    の に は を が と で も から まで より です ます する した して される している いる ある こと ため この その また および または について による における としては
+    및 또는 그 이 수 있는 있습니다 합니다 하는 대한 위한 등 것 때 경우 모든 그리고 본 각 할 한 후 이를 통해 대해 따라 위해 없이 않습니다
     """.split()
 )
 WORD = re.compile(r"[^\W_]+")
+EAST = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+EAST_WORD = re.compile(r"[\u3400-\u9fff\uf900-\ufaff]|[\u3040-\u309f]+|[\u30a0-\u30ff]+|[^\W_\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
 SENTENCE_END = re.compile(r"[.!?…][\"'”’»)\]]*(?=\s|$)|[。！？]")
 LINE_END = re.compile(r"[.!?…。！？:;：；][\"'”’»)\]」』）]*$")
 BULLET = re.compile(r"(?:[-–—*•◦▪·‣☐☑✓o+]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)])\s+")
@@ -52,7 +62,8 @@ NO_LETTERS = bytes(b for b in range(256) if not chr(b).isalpha())
 BORDER = frozenset("+-|=:─│┼┌┐└┘├┤┬┴━ \t")
 GAP = re.compile(r"\S(?: {3,}|\t)\S")
 BREAK = re.compile(r"\r\n|\r|\n")
-SPACES = re.compile(r"\s+")
+#: The end of a line and the blank lines behind it.
+BLANK_LINES = re.compile(r"(?:\r\n|\r|\n)(?:[^\S\r\n]*(?:\r\n|\r|\n))+")
 
 PROSE, JUNK, TABLE, LIST, BLANK = range(5)
 
@@ -212,56 +223,90 @@ def judge(lines: list[str]) -> list[int]:
 COUNTS = ["n_chars", "n_words", "word_chars", "n_symbols", "n_lines", "n_ended", "n_common", "list_chars", "table_chars", "junk_chars"]
 
 
-def _word_counts(text: str, chunk: int) -> tuple[int, int, int]:
-    """Number of words, their code points, and how many of them are common."""
+def count_text(text: str) -> list[int]:
+    """The counts of ``COUNTS`` of a whole text or of a chunk of ``chunks``."""
     low = text.lower()
-    if len(text) <= chunk:
-        words = WORD.findall(low)
-        return len(words), sum(map(len, words)), sum(w in COMMON for w in words)
-    n = chars = common = 0
-    for m in WORD.finditer(low):
-        n += 1
-        chars += m.end() - m.start()
-        common += m.group() in COMMON
-    return n, chars, common
-
-
-def count_text(text: str, chunk: int = CHUNK) -> list[int]:
-    """The counts of ``COUNTS`` of a whole text."""
-    n_words, chars, common = _word_counts(text, chunk)
-    spaces = len(text) - sum(map(len, text.split())) if len(text) <= chunk else sum(m.end() - m.start() for m in SPACES.finditer(text))
-    own = BREAK.split(text)
+    words = (EAST_WORD if EAST.search(low) else WORD).findall(low)
+    chars = sum(map(len, words))
+    spaces = len(text) - sum(map(len, text.split()))
+    lines, ends, at = [], [], 0
+    for m in BREAK.finditer(text):
+        lines.append(text[at : m.start()])
+        at = m.end()
+        ends.append(at)
+    lines.append(text[at:])
+    ends.append(len(text))
     size = [0] * 5
     last = PROSE
-    ended = filled = 0
-    left = len(text)
-    for line, kind in zip(own, judge(own)):
+    ended = filled = at = 0
+    for line, end, kind in zip(lines, ends, judge(lines)):
         if kind == BLANK:
             kind = last
         else:
             filled += 1
             ended += bool(LINE_END.search(line.rstrip()))
         last = kind
-        got = min(len(line) + 1, left)
-        size[kind] += got
-        left -= got
-    return [len(text), n_words, chars, len(text) - spaces - chars, filled, ended, common, size[LIST], size[TABLE], size[JUNK]]
+        size[kind] += end - at
+        at = end
+    return [len(text), len(words), chars, len(text) - spaces - chars, filled, ended, sum(w in COMMON for w in words), size[LIST], size[TABLE], size[JUNK]]
+
+
+def _settled(line: str) -> bool:
+    """Whether no table and no list goes on behind this line, whatever was before it."""
+    s = line.strip()
+    if not s:
+        return False
+    if is_junk(s):
+        return True
+    if separators(line) is not None or (len(s) >= 5 and BORDER.issuperset(s)):
+        return False
+    m = BULLET.match(s)
+    return len(s) > ITEM or _sentence(s[m.end() :] if m else s)
+
+
+def chunks(text: str, size: int = CHUNK) -> list[str]:
+    """The text in chunks of at least ``size`` code points (but the last), cut where ``count_text`` adds up."""
+    out, begin = [], 0
+    while len(text) - begin > size:
+        at = begin + size
+        end = None
+        for m in BLANK_LINES.finditer(text, at):
+            start = max(text.rfind("\n", 0, m.start()), text.rfind("\r", 0, m.start())) + 1
+            if m.end() < len(text) and start >= begin and _settled(text[start : m.start()]):
+                end = m.end()
+                break
+        if end is None:
+            break
+        out.append(text[begin:end])
+        begin = end
+    return [*out, text[begin:]]
 
 
 def count_rows(df: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame:
-    """``(id, counts...)`` of every row, in one pass."""
+    """``(id, counts...)`` of every row's text, or of every chunk of it."""
     id_type = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                got = [count_text(x, chunk) for x in batch.column(1).to_pylist()]
+                got = [count_text(x) for x in batch.column(1).to_pylist()]
                 cols = list(zip(*got)) if got else [[] for _ in COUNTS]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["id", *COUNTS])
 
-    return rows.mapInArrow(run, f"id {id_type}, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                parts = chunks(text, chunk)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(parts))), pa.array(parts), pa.array(range(len(parts)), pa.int32())], names=["id", "text", "no"])
+
+    counts = f"id {id_type}, " + ", ".join(f"{c} bigint" for c in COUNTS)
+    small = rows.where(F.length("text") <= chunk).mapInArrow(count, counts)
+    large = rows.where(F.length("text") > chunk).mapInArrow(cut, f"id {id_type}, text string, no int")
+    # A stated number of partitions, as merging them by bytes would put a large document's chunks into one task again.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return small.union(large.repartition(tasks, "id", "no").select("id", "text").mapInArrow(count, counts))
 
 
 def text_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, chunk: int = CHUNK) -> DataFrame:

@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import WHITE_SPACE
 from lexloom.llm import boilerplate, chunk_split, lang_id, mixing, near_dup, quality, tokenise, vector_knn
-from lexloom.session import table
+from lexloom.session import staged, table
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+FEW = 2_000_000
+
+
+def _records(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """``chunks`` with the metadata fields as columns."""
     m = F.col("metadata")
-    return table(spark, sf_dir, "chunks").select("id", "text", "lang", m["source"].alias("source"), m["page"].alias("page"), m["document_id"].alias("document_id"), m["jurisdiction"].alias("jurisdiction"))
+    return table(spark, sf_dir, "chunks").select(*more, "id", "text", "lang", m["source"].alias("source"), m["page"].alias("page"), m["document_id"].alias("document_id"), m["jurisdiction"].alias("jurisdiction"))
+
+
+def _one_an_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``_records`` with one row an id (the last), rows without an id left as they are.
+
+    Only ids and places are shuffled. The places of superseded rows are sent to all tasks where they are few
+    (``FEW`` at most); else they are joined, and texts move.
+    """
+    places = table(spark, sf_dir, "chunks").where("id is not null").select("id", "ord")
+    last = places.groupBy("id").agg(F.max("ord").alias("last"), F.count("*").alias("n")).where("n > 1")
+    old = staged(places.join(last, "id").where("ord <> last").select("ord"), "superseded")
+    old = F.broadcast(old) if old.count() <= FEW else old
+    return _records(spark, sf_dir, "ord").join(old, "ord", "left_anti").drop("ord")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +40,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every record, with its place and page."""
-    return chunk_split.split_records(_records(spark, sf_dir)).dropDuplicates(["id", "piece_no"])
+    return chunk_split.split_records(_one_an_id(spark, sf_dir))
+
+
+def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every record with a text: what its pieces cover together, and whether they keep the limits."""
+    order = Window.partitionBy("id").orderBy("piece_no")
+    p = p1_pieces(spark, sf_dir).withColumn("before", F.lag("end").over(order))
+    new = F.expr("substring(text, greatest(coalesce(before, 0) - start, 0) + 1)")
+    bare = F.regexp_replace(new, f"[{WHITE_SPACE}]+", "")
+    good = (F.length("text") == F.col("end") - F.col("start")) & (F.length("text") <= 900) & (F.coalesce(F.col("before"), F.lit(0)) - F.col("start") <= 150)
+    each = p.groupBy("id", "page").agg(F.sort_array(F.collect_list(F.struct("piece_no", bare.alias("t")))).alias("x"), F.min("start").alias("first"), F.max("end").alias("n_chars"), F.min(good.cast("int")).alias("good"), F.count("*").alias("n"), F.max("n_pieces").alias("of"))
+    return each.select("id", F.col("page").cast("bigint").alias("page"), F.col("n_chars").cast("bigint").alias("n_chars"), F.md5(F.array_join(F.transform("x", lambda v: v["t"]), "")).alias("text_md5"), ((F.col("good") == 1) & (F.col("first") == 0) & (F.col("n") == F.col("of"))).alias("kept"))
 
 
 def _clauses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +75,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record's text without the lines repeated within its source."""
-    rows = _records(spark, sf_dir)
+    rows = _one_an_id(spark, sf_dir)
     return boilerplate.remove_blocks(rows, boilerplate.find_blocks(rows)[0])
 
 
@@ -110,4 +138,9 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_statistics(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_segments": p4_segments, "p5_found": p5_found, "p5_knn": p5_knn, "p5_search": p5_search, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics}
+def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts among those figures that don't depend on the kinds of lines."""
+    return p8_statistics(spark, sf_dir).select("doc_id", "n_chars", "n_words", "word_chars", "n_symbols", "n_lines", "n_ended", "n_common")
+
+
+QUERIES = {"p1_found": p1_found, "p1_coverage": p1_coverage, "p8_counts": p8_counts, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_segments": p4_segments, "p5_found": p5_found, "p5_knn": p5_knn, "p5_search": p5_search, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics}

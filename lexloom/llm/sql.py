@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lexloom.llm.quality import COMMON
+
 _REPEATED = r"""
 records as (
   select distinct on (id) id, metadata.source as source, metadata.document_id as doc, text
@@ -26,7 +28,39 @@ repeated as (
   having count(distinct l.doc) >= 4 and count(distinct l.doc) * 20 >= d.n_docs
 )"""
 
+_WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_EAST = r"\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}"
+_COMMON = ", ".join(f"'{w}'" for w in sorted(COMMON))
+
 SQL: dict[str, str] = {
+    "p1_coverage": rf"""
+        with normal as (
+          select distinct on (id) id, metadata.page as page, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '^[{_WS}]+|[{_WS}]+$', '', 'g') as body from chunks where text is not null order by id, ord desc
+        )
+        select id, page::bigint as page, length(body) as n_chars, md5(regexp_replace(body, '[{_WS}]+', '', 'g')) as text_md5, true as kept from normal where body <> ''""",
+    "p2_groups": r"""
+        with recursive words as (select distinct on (id) id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from chunks where text is not null and id is not null),
+        member as (select id, array_to_string(w, ' ') as c from words where len(w) >= 40),
+        class as (select c, min(id) as first from member group by c),
+        sets as (select f.first as k, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as s from class f join words w on w.id = f.first),
+        each as (select k, len(s) as n, unnest(s) as t from sets),
+        common as (select a.k as a, b.k as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from each a join each b on a.t = b.t and a.k < b.k group by 1, 2),
+        link as (select a, b from common where 2 * c >= na + nb - c union all select b, a from common where 2 * c >= na + nb - c),
+        reach as (select first as k, first as r from class union select reach.k, link.b from reach join link on link.a = reach.r),
+        grouped as (select k, min(r) as g from reach group by k),
+        n as (select a as k, count(*) as n from link group by 1)
+        select m.id, g.g as group, coalesce(n.n, 0) as n_links from member m join class f on f.c = m.c join grouped g on g.k = f.first left join n on n.k = f.first""",
+    "p8_counts": rf"""
+        with low as (select doc_id, coalesce(text, '') as text, lower(replace(coalesce(text, ''), 'İ', 'i' || chr(775))) as low from documents),
+        cut as (
+          select doc_id, text, case when regexp_matches(low, '[{_EAST}]') then regexp_extract_all(low, '[\x{{3400}}-\x{{9fff}}\x{{f900}}-\x{{faff}}]|[\x{{3040}}-\x{{309f}}]+|[\x{{30a0}}-\x{{30ff}}]+|[\p{{L}}\p{{N}}]+') else regexp_extract_all(low, '[\p{{L}}\p{{N}}]+') end as w,
+                 list_filter(list_transform(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: regexp_replace(x, '[{_WS}]+$', '')), lambda x: regexp_matches(x, '[^{_WS}]')) as lines from low
+        ),
+        mixed as (select doc_id, text, lines, flatten(list_transform(w, lambda x: case when regexp_matches(x, '^[^{_EAST}]') and regexp_matches(x, '[{_EAST}]') then regexp_extract_all(x, '[\x{{3400}}-\x{{9fff}}\x{{f900}}-\x{{faff}}]|[\x{{3040}}-\x{{309f}}]+|[\x{{30a0}}-\x{{30ff}}]+|[^{_EAST}]+') else [x] end)) as w from cut)
+        select doc_id, length(text) as n_chars, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+               length(regexp_replace(text, '[{_WS}]', '', 'g')) - coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as n_symbols,
+               len(lines) as n_lines, len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…。！？:;：；]["''”’»)\]」』）]*$'))) as n_ended, len(list_filter(w, lambda x: x in ({_COMMON}))) as n_common
+        from mixed""",
     "p1_found": r"""
         with normal as (
           select distinct on (id) id,

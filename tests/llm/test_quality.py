@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.llm import quality as Q
 
@@ -37,17 +38,35 @@ def test_counts_and_ratios(spark):
     assert kinds(spark, []) == {}
 
 
-def test_chunks_add_up(spark):
+@pytest.mark.parametrize("size", [50, 300])
+def test_chunks_add_up(spark, size):
     rng = random.Random(2)
+    wrapped = "\n".join(" ".join(PROSE.split()[i : i + 8]) for i in range(0, 30, 8))
     texts = []
     for _ in range(40):
         parts = []
-        for _ in range(rng.randint(1, 12)):
-            parts.append(rng.choice([PROSE, "- item\n- other item\n- third\n- fourth\n", "a,1,2\nb,3,4\nc,5,6\nd,7,8\n", "x" * rng.randint(1, 900), "wörter und mehr ", "\r\n", "\n\n"]))
+        for _ in range(rng.randint(5, 40)):
+            parts.append(rng.choice([PROSE, wrapped, "- item\n- other item\n- third\n- fourth\n", "a,1,2\nb,3,4\nc,5,6\nd,7,8\n", "x" * rng.randint(1, 900), "wörter und mehr ", "\r\n", "\n\n", "\n \t\r\n\n", "委员会应审查申请。", "データの共有は"]))
+            parts.append(rng.choice(["", "\n\n", "\r\n\r\n", "\r\r"]))
         texts.append("".join(parts))
-    whole, cut = kinds(spark, texts, chunk=10**6), kinds(spark, texts, chunk=300)
-    exact = ["n_chars", "n_words", "word_chars", "n_symbols"]
-    assert [[whole[i][c] for c in exact] for i in whole] == [[cut[i][c] for c in exact] for i in whole]
+    cuts = [Q.chunks(t, size) for t in texts]
+    assert ["".join(c) for c in cuts] == texts and sum(map(len, cuts)) > 150
+    whole, cut = kinds(spark, texts, chunk=10**9), kinds(spark, texts, chunk=size)
+    assert [[whole[i][c] for c in Q.COUNTS] for i in whole] == [[cut[i][c] for c in Q.COUNTS] for i in whole]
+
+
+def test_one_large_document_is_spread(spark):
+    text = "\n\n".join(f"{PROSE}\n- item {i}\n- other\n- third\n\nThe list ends here." for i in range(3000))
+    parts = Q.chunks(text, 5000)
+    assert max(map(len, parts)) < 6000 and len(parts) > 50
+    spread = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    tasks = Q.count_rows(spread, "doc_id", "text", 5000).select(F.spark_partition_id()).distinct().count()
+    assert tasks > 1 and Q.text_statistics(spread, chunk=5000).drop("kind").first() == Q.text_statistics(spread, chunk=10**9).drop("kind").first()
+
+
+def test_east_asian_words():
+    n = dict(zip(Q.COUNTS, Q.count_text("委员会的审查 data2 データの共有は 동의 및 철회")))
+    assert n["n_words"] == 6 + 1 + 5 + 3 and n["n_common"] == 4  # 的, の, は, 및
 
 
 def test_runs_are_judged_across_chunks(spark):

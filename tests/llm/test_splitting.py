@@ -94,3 +94,12 @@ def test_table(spark):
     assert C.split_records(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         C.split_records(df, size=100, overlap=100)
+
+
+def test_a_finer_grid_never_costs_more():
+    rng = random.Random(4)
+    for _ in range(20):
+        text = C.normalise(" ".join("".join(rng.choice("abc,.") for _ in range(rng.randint(1, 30))) + rng.choice(["", "", "\n", "\n\n"]) for _ in range(200)))
+        fine, usual = (C.cheapest(text, 300, 50, g) for g in (1, 30))
+        check(text, fine[0], 300, 50)
+        assert fine[1] <= usual[1] + 1e-9
