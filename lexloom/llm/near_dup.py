@@ -149,8 +149,8 @@ def _signatures(window: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int, min_words: int) -> DataFrame:
-    """``(id, class, n_words, ring, sketch)`` of every row long enough; one pass, no shuffle. ``ring`` holds
-    four coordinates in each bigint."""
+    """``(id, class, n_words, low, high, sketch)`` of every row long enough; one pass, no shuffle. ``low`` and
+    ``high`` hold the lower and upper bytes of the ring's coordinates, eight in each bigint."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,18 +167,19 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, min_words:
                 ring, sketch = _signatures(window, starts)
                 sizes = np.diff(np.append(starts, len(window))) + width - 1
                 own = [xxhash.xxh3_64_intdigest("\x1f".join(WORD.findall(texts[i].lower()))) for i in which.tolist()]
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(ring.view(np.int64).ravel()), RING // 4).cast(pa.list_(pa.int64()))
+                low, high = (pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.uint8).view(np.int64).ravel()), RING // 8).cast(pa.list_(pa.int64())) for x in (ring & 255, ring >> 8))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(which)), pa.array(np.array(own, np.uint64).astype(np.int64)), pa.array(sizes.astype(np.int32)), flat, pa.array(sketch)],
-                    names=["id", "class", "n_words", "ring", "sketch"],
+                    [batch.column(0).take(pa.array(which)), pa.array(np.array(own, np.uint64).astype(np.int64)), pa.array(sizes.astype(np.int32)), low, high, pa.array(sketch)],
+                    names=["id", "class", "n_words", "low", "high", "sketch"],
                 )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {id_type}, class bigint, n_words int, ring array<bigint>, sketch bigint")
+    return df.select(id_col, text_col).mapInArrow(run, f"id {id_type}, class bigint, n_words int, low array<bigint>, high array<bigint>, sketch bigint")
 
 
 def _nodes(batch: pa.RecordBatch, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids (n, TREES) of the nodes at ``depth`` and one above it, from the column ``ring``."""
-    ring = np.ascontiguousarray(batch.column("ring").flatten().to_numpy()).view(np.uint16).reshape(-1, RING)
+    """Ids (n, TREES) of the nodes at ``depth`` and one above it, from the ring's bytes."""
+    low, high = (np.ascontiguousarray(batch.column(c).flatten().to_numpy()).view(np.uint8).reshape(-1, RING).astype(np.uint16) for c in ("low", "high"))
+    ring = low | (high << np.uint16(8))
     tree = np.arange(TREES)
     node = above = np.broadcast_to((tree + 1).astype(np.uint64), (len(ring), TREES))
     for level in range(depth):
@@ -270,7 +271,7 @@ def _walk(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.RecordBa
 
 
 def candidates(classes: DataFrame, threshold: float, recall: float, node_rows: int = NODE_ROWS, n: int | None = None) -> DataFrame:
-    """Distinct candidate pairs ``(a, b)`` of ``classes(class, ring, sketch)``, ``a < b``."""
+    """Distinct candidate pairs ``(a, b)`` of ``classes(class, low, high, sketch)``, ``a < b``."""
     spark = classes.sparkSession
     depth = depth_for(threshold, recall)
     n = classes.count() if n is None else n
@@ -287,7 +288,7 @@ def candidates(classes: DataFrame, threshold: float, recall: float, node_rows: i
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(count)], names=["node", "n"])
 
     least = node_rows * share if share == 1 else max(SURE, node_rows * share)
-    found = drawn.select("ring").mapInArrow(seen, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") > least).orderBy("node").toArrow()
+    found = drawn.select("low", "high").mapInArrow(seen, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") > least).orderBy("node").toArrow()
     blocks = np.ceil(found.column("n").to_numpy() / share / node_rows).astype(np.int64)
     large = spark.sparkContext.broadcast((found.column("node").to_numpy(), blocks))
 
@@ -321,7 +322,7 @@ def candidates(classes: DataFrame, threshold: float, recall: float, node_rows: i
                 side = np.where(own == other, node[each], np.where(own < other, LEFT, RIGHT))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part, side, cls[each], sketch[each])], names=["part", "node", "class", "sketch"])
 
-    rows = classes.select("class", "ring", "sketch").mapInArrow(spread, "part bigint, node bigint, class bigint, sketch bigint")
+    rows = classes.select("class", "low", "high", "sketch").mapInArrow(spread, "part bigint, node bigint, class bigint, sketch bigint")
     small = SMALL if shorten else 0
     return rows.repartition("part").sortWithinPartitions("part", "node").mapInArrow(lambda batches: _walk(batches, small), "a bigint, b bigint").where("a <> b").distinct()
 
@@ -350,13 +351,13 @@ def similar_classes(df: DataFrame, id_col: str = "id", text_col: str = "text", *
     signed = staged(signatures(rows, "id", "text", width, min_words), "signatures")
     members = signed.select("id", "class").distinct()
     # Rows of one class have equal signatures, so any row stands for it.
-    classes = signed.groupBy("class").agg(F.min("id").alias("id"), F.first("ring").alias("ring"), F.first("sketch").alias("sketch"))
-    found = candidates(classes.select("class", "ring", "sketch"), threshold, recall, node_rows, signed.count())
-    # agreement is at least the similarity; a few standard deviations below it
+    classes = signed.groupBy("class").agg(F.min("id").alias("id"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("sketch").alias("sketch"))
+    found = candidates(classes.select("class", "low", "high", "sketch"), threshold, recall, node_rows, signed.count())
+    # Of the lower bytes, which agree at least as often as the coordinates: half of what would have to be shuffled.
     least = math.floor(RING * threshold - SIGMAS * math.sqrt(RING * threshold * (1 - threshold)))
-    side = classes.select("class", "ring", "id")
-    joined = found.join(side.select(F.col("class").alias("a"), F.col("ring").alias("pa"), F.col("id").alias("ia")), "a").join(side.select(F.col("class").alias("b"), F.col("ring").alias("pb"), F.col("id").alias("ib")), "b")
-    equal = F.aggregate(F.zip_with("pa", "pb", lambda p, q: p.bitwiseXOR(q)), F.lit(0), lambda s, x: s + sum((F.shiftright(x, 16 * k).bitwiseAND(F.lit(65535)) == F.lit(0)).cast("int") for k in range(4)))
+    side = classes.select("class", "low", "id")
+    joined = found.join(side.select(F.col("class").alias("a"), F.col("low").alias("pa"), F.col("id").alias("ia")), "a").join(side.select(F.col("class").alias("b"), F.col("low").alias("pb"), F.col("id").alias("ib")), "b")
+    equal = F.aggregate(F.zip_with("pa", "pb", lambda p, q: p.bitwiseXOR(q)), F.lit(0), lambda s, x: s + sum((F.shiftright(x, 8 * k).bitwiseAND(F.lit(255)) == F.lit(0)).cast("int") for k in range(8)))
     likely = staged(joined.where(equal >= least).select("a", "b", "ia", "ib"), "likely")
     # Read the texts of the classes that are left. A bitmap of fixed size keeps other rows from the shuffle.
     needed = likely.select(F.col("a").alias("class"), F.col("ia").alias("id")).union(likely.select("b", "ib")).distinct()
