@@ -17,8 +17,8 @@ A node expected, by a sample, to hold more than ``node_rows`` classes is not sen
 blocks from the start, and each pair of blocks is compared in a task of its own. Wide nodes that are to be shortened
 are sent by the longer prefix instead.
 
-Within a node only those pairs go on whose 64-bit sketches (one further bit of 64 coordinates) agree
-in ``SKETCH_AGREE`` bits at least, then those that agree in enough coordinates; both bounds lie at least
+Within a node only those pairs go on whose 128-bit sketches (a further bit of each coordinate, and one more of a
+third of them) agree in ``SKETCH_AGREE`` bits at least, then those that agree in enough coordinates; both bounds lie at least
 ``SIGMAS`` standard deviations below what a pair at the threshold shows. What is left is verified exactly
 on the texts, which are read again for the candidates only.
 
@@ -50,8 +50,8 @@ NODE_ROWS = 4096
 SMALL = 16
 #: Classes of the sample that large nodes are found in, and rows of it that tell a large node from chance.
 SAMPLE, SURE = 1 << 16, 12
-#: Of 64 sketch bits; a pair at similarity 0.5 agrees in 48 with a standard deviation of 3.5.
-SKETCH_AGREE = 36
+#: Of 128 sketch bits; a pair at similarity 0.5 agrees in 96 with a standard deviation of 5.3, an unrelated one in 64 with 5.7.
+SKETCH_AGREE = 78
 SIGMAS = 3.4
 #: Bits of the fixed-size filter that spares reading texts of records without candidates.
 FILTER_BITS = 1 << 24
@@ -126,13 +126,13 @@ class Shingler:
 
 
 def _signatures(window: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ring of 16-bit coordinates of each text, and its 64-bit sketch."""
+    """The ring of 16-bit coordinates of each text, and its 128-bit sketch in two numbers."""
     rng = np.random.default_rng(11)
     a = rng.integers(1, 2**32, RING, np.uint64).astype(np.uint32) | np.uint32(1)
     b = rng.integers(0, 2**32, RING, np.uint64).astype(np.uint32)
     low, high = window.astype(np.uint32), (window >> np.uint64(32)).astype(np.uint32)
     ring = np.zeros((len(starts), RING), np.uint16)
-    sketch = np.zeros(len(starts), np.uint64)
+    sketch = np.zeros((len(starts), 2), np.uint64)
     for k in range(RING):
         v = low * a[k] + (high ^ b[k])
         v ^= v >> np.uint32(15)
@@ -143,13 +143,14 @@ def _signatures(window: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
         least = (least ^ (least >> np.uint32(15))) * np.uint32(0x846CA68B)
         least ^= least >> np.uint32(16)
         ring[:, k] = least & np.uint32(0xFFFF)
-        if k < 64:
-            sketch |= ((least >> np.uint32(16)) & np.uint32(1)).astype(np.uint64) << np.uint64(k)
-    return ring, sketch.astype(np.int64)
+        sketch[:, k // 64] |= ((least >> np.uint32(16)) & np.uint32(1)).astype(np.uint64) << np.uint64(k % 64)
+        if k < 128 - RING:
+            sketch[:, 1] |= ((least >> np.uint32(17)) & np.uint32(1)).astype(np.uint64) << np.uint64(RING - 64 + k)
+    return ring, sketch.view(np.int64)
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int, min_words: int) -> DataFrame:
-    """``(id, class, n_words, low, high, sketch)`` of every row long enough; one pass, no shuffle. ``low`` and
+    """``(id, class, n_words, low, high, sketch, sketch2)`` of every row long enough; one pass, no shuffle. ``low`` and
     ``high`` hold the lower and upper bytes of the ring's coordinates, eight in each bigint."""
     id_type = df.schema[id_col].dataType.simpleString()
 
@@ -169,11 +170,11 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, min_words:
                 own = [xxhash.xxh3_64_intdigest("\x1f".join(WORD.findall(texts[i].lower()))) for i in which.tolist()]
                 low, high = (pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.uint8).view(np.int64).ravel()), RING // 8).cast(pa.list_(pa.int64())) for x in (ring & 255, ring >> 8))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(which)), pa.array(np.array(own, np.uint64).astype(np.int64)), pa.array(sizes.astype(np.int32)), low, high, pa.array(sketch)],
-                    names=["id", "class", "n_words", "low", "high", "sketch"],
+                    [batch.column(0).take(pa.array(which)), pa.array(np.array(own, np.uint64).astype(np.int64)), pa.array(sizes.astype(np.int32)), low, high, *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in (0, 1))],
+                    names=["id", "class", "n_words", "low", "high", "sketch", "sketch2"],
                 )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {id_type}, class bigint, n_words int, low array<bigint>, high array<bigint>, sketch bigint")
+    return df.select(id_col, text_col).mapInArrow(run, f"id {id_type}, class bigint, n_words int, low array<bigint>, high array<bigint>, sketch bigint, sketch2 bigint")
 
 
 def _nodes(batch: pa.RecordBatch, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +189,8 @@ def _nodes(batch: pa.RecordBatch, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= 64 - SKETCH_AGREE
+    differ = np.bitwise_count(a ^ b)
+    return differ[..., 0] + differ[..., 1] <= 128 - SKETCH_AGREE
 
 
 def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -196,6 +198,7 @@ def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 LEFT, RIGHT = -1, -2  # in the place of a node: sides of two blocks of one node
+ROW = ["part", "node", "class", "sketch", "sketch2"]
 
 
 def _within(start: np.ndarray, size: np.ndarray, cls: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -254,10 +257,10 @@ def _walk(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.RecordBa
             yield from _within(edges[:-1], np.diff(edges), cls, sketch)
 
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
         if not len(cols[0]):
             continue
-        cols[3] = cols[3].view(np.uint64)
+        cols[3:] = [np.stack(cols[3:], 1).view(np.uint64)]
         cut = np.flatnonzero(cols[0] != cols[0][-1])
         last = cut[-1] + 1 if len(cut) else 0  # where the group begins that may go on in the next batch
         if held and (last or held[-1][0][-1] != cols[0][-1]):
@@ -271,7 +274,7 @@ def _walk(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.RecordBa
 
 
 def candidates(classes: DataFrame, threshold: float, recall: float, node_rows: int = NODE_ROWS, n: int | None = None) -> DataFrame:
-    """Distinct candidate pairs ``(a, b)`` of ``classes(class, low, high, sketch)``, ``a < b``."""
+    """Distinct candidate pairs ``(a, b)`` of ``classes(class, low, high, sketch, sketch2)``, ``a < b``."""
     spark = classes.sparkSession
     depth = depth_for(threshold, recall)
     n = classes.count() if n is None else n
@@ -301,28 +304,32 @@ def candidates(classes: DataFrame, threshold: float, recall: float, node_rows: i
             at = np.minimum(np.searchsorted(ids, node), len(ids) - 1)
             return np.where(ids[at] == node, many[at], 1)
 
+        def short(node: np.ndarray) -> np.ndarray:
+            """31 bits are enough to tell the nodes of one part."""
+            return (node.view(np.uint64) >> np.uint64(33)).astype(np.int32)
+
         for whole in batches:
             for s in range(0, whole.num_rows, 2000):
                 batch = whole.slice(s, 2000)
                 node, above = (x.ravel() for x in _nodes(batch, depth))
                 cls = np.repeat(batch.column("class").to_numpy(), TREES)
-                sketch = np.repeat(batch.column("sketch").to_numpy(), TREES)
+                one_each, two_each = (np.repeat(batch.column(c).to_numpy(), TREES) for c in ("sketch", "sketch2"))
                 times = n_blocks(node)
                 part = np.where(n_blocks(above) > 1, node, above) if shorten else node
                 one = times == 1
-                yield pa.RecordBatch.from_arrays([pa.array(x[one]) for x in (part, node, cls, sketch)], names=["part", "node", "class", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[one]) for x in (part, short(node), cls, one_each, two_each)], names=ROW)
                 if one.all():
                     continue
-                node, cls, sketch, times = (x[~one] for x in (node, cls, sketch, times))
+                node, cls, one_each, two_each, times = (x[~one] for x in (node, cls, one_each, two_each, times))
                 each = np.repeat(np.arange(len(node)), times)
                 other = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
                 own = ((_mix(cls.view(np.uint64)) >> np.uint64(8)).astype(np.int64) % times)[each]
                 left, right = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
                 part = _mix(_mix(node[each].view(np.uint64) + left) * np.uint64(0x9E3779B97F4A7C15) + right).view(np.int64)
-                side = np.where(own == other, node[each], np.where(own < other, LEFT, RIGHT))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part, side, cls[each], sketch[each])], names=["part", "node", "class", "sketch"])
+                side = np.where(own == other, short(node[each]), np.where(own < other, LEFT, RIGHT)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part, side, cls[each], one_each[each], two_each[each])], names=ROW)
 
-    rows = classes.select("class", "low", "high", "sketch").mapInArrow(spread, "part bigint, node bigint, class bigint, sketch bigint")
+    rows = classes.select("class", "low", "high", "sketch", "sketch2").mapInArrow(spread, "part bigint, node int, class bigint, sketch bigint, sketch2 bigint")
     small = SMALL if shorten else 0
     return rows.repartition("part").sortWithinPartitions("part", "node").mapInArrow(lambda batches: _walk(batches, small), "a bigint, b bigint").where("a <> b").distinct()
 
@@ -351,8 +358,8 @@ def similar_classes(df: DataFrame, id_col: str = "id", text_col: str = "text", *
     signed = staged(signatures(rows, "id", "text", width, min_words), "signatures")
     members = signed.select("id", "class").distinct()
     # Rows of one class have equal signatures, so any row stands for it.
-    classes = signed.groupBy("class").agg(F.min("id").alias("id"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("sketch").alias("sketch"))
-    found = candidates(classes.select("class", "low", "high", "sketch"), threshold, recall, node_rows, signed.count())
+    classes = signed.groupBy("class").agg(F.min("id").alias("id"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("sketch").alias("sketch"), F.first("sketch2").alias("sketch2"))
+    found = candidates(classes.select("class", "low", "high", "sketch", "sketch2"), threshold, recall, node_rows, signed.count())
     # Of the lower bytes, which agree at least as often as the coordinates: half of what would have to be shuffled.
     least = math.floor(RING * threshold - SIGMAS * math.sqrt(RING * threshold * (1 - threshold)))
     side = classes.select("class", "low", "id")

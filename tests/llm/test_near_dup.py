@@ -108,7 +108,7 @@ def test_depth(t, recall, depth):
 def exact_pairs(spark, classes, depth):
     """Pairs of close sketches that share a prefix of that depth in some tree, straight from the rings."""
     rows = classes.collect()
-    sketch = {r["class"]: r["sketch"] % (1 << 64) for r in rows}
+    sketch = {r["class"]: r["sketch"] % (1 << 64) + (r["sketch2"] % (1 << 64) << 64) for r in rows}
     ring = {r["class"]: np.array(r["low"], np.int64).view(np.uint8) + 256 * np.array(r["high"], np.int64).view(np.uint8).astype(int) for r in rows}
     out = set()
     for tree in range(N.TREES):
@@ -116,7 +116,7 @@ def exact_pairs(spark, classes, depth):
         nodes = {}
         for c, x in ring.items():
             nodes.setdefault(tuple(x[at]), []).append(c)
-        out |= {(min(a, b), max(a, b)) for g in nodes.values() for i, a in enumerate(g) for b in g[i + 1 :] if (sketch[a] ^ sketch[b]).bit_count() <= 64 - N.SKETCH_AGREE}
+        out |= {(min(a, b), max(a, b)) for g in nodes.values() for i, a in enumerate(g) for b in g[i + 1 :] if (sketch[a] ^ sketch[b]).bit_count() <= 128 - N.SKETCH_AGREE}
     return out
 
 
@@ -127,7 +127,7 @@ def test_prefixes_of_different_depths(spark, monkeypatch, node_rows):
     common = " ".join(f"c{i}" for i in range(25))  # a quarter to a third of each text of one kind: wide nodes
     rows = corpus(rng, 40, 25) + [(f"k{i:03}", common + " " + " ".join(f"k{rng.randint(0, 10**6)}" for _ in range(35))) for i in range(60)]
     signed = N.signatures(spark.createDataFrame(rows, "id string, text string"), "id", "text", 3, 40)
-    classes = signed.select("class", "low", "high", "sketch").dropDuplicates(["class"]).cache()
+    classes = signed.select("class", "low", "high", "sketch", "sketch2").dropDuplicates(["class"]).cache()
     got = {tuple(r) for r in N.candidates(classes, 0.5, 0.98, node_rows).collect()}
     three, two = exact_pairs(spark, classes, 3), exact_pairs(spark, classes, 2)
     assert three < got < two  # more than depth 3 gives, yet not all of depth 2
@@ -139,7 +139,7 @@ def test_prefixes_of_different_depths(spark, monkeypatch, node_rows):
 
 def test_no_shorter_prefix_where_chance_fills_it(spark):
     rows = corpus(random.Random(9), 40, 25)
-    classes = N.signatures(spark.createDataFrame(rows, "id string, text string"), "id", "text", 3, 40).select("class", "low", "high", "sketch").dropDuplicates(["class"])
+    classes = N.signatures(spark.createDataFrame(rows, "id string, text string"), "id", "text", 3, 40).select("class", "low", "high", "sketch", "sketch2").dropDuplicates(["class"])
     got = {tuple(r) for r in N.candidates(classes, 0.5, 0.98, n=10**9).collect()}
     assert got == exact_pairs(spark, classes, 3) and 32 * 10**18 / 2 ** (16 * 3 + 1) < 10**9
 
@@ -150,9 +150,9 @@ def test_a_stream_is_walked_alike_however_it_is_batched():
     part[300:500] = part[300]
     part.sort()
     node = part * 10 + rng.integers(0, 3, 900)
-    cols = [part, node, np.arange(900), np.zeros(900, np.int64)]
+    cols = [part, node, np.arange(900), *np.zeros((2, 900), np.int64)]
     by = np.lexsort((node, part))
-    whole = pa.RecordBatch.from_arrays([pa.array(c[by]) for c in cols], names=["part", "node", "class", "sketch"])
+    whole = pa.RecordBatch.from_arrays([pa.array(c[by]) for c in cols], names=N.ROW)
 
     def pairs(step, small):
         return sorted((a, b) for r in N._walk((whole.slice(i, step) for i in range(0, 900, step)), small) for a, b in zip(r.column(0).to_pylist(), r.column(1).to_pylist()))
