@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from lexloom.session import staged
 
 LINE_END = "\r\n|\r|\n"
+FEW_NODES = 2_000_000
 
 
 def line_keys(text: Column, min_letters: int) -> Column:
@@ -100,9 +101,14 @@ def remove_blocks(df: DataFrame, blocks: DataFrame, id_col: str = "id", text_col
 
     Rows that repeat an id, or have none, come out as they came in: whoever wants one row an id drops the others
     before, by ids alone, so that no text is shuffled. Other lines keep their content; the line ends of what is left become LF where a line went, and
-    stay as they are in texts that lose none. Null texts stay null.
+    stay as they are in texts that lose none. Null texts stay null. Where all blocks together hold at most ``FEW_NODES``
+    lines (16 MB), they are sent to the texts; else texts are joined by source, and hot sources are left to the
+    skew handling of the join.
     """
+    blocks = staged(blocks.select("source", "node"), "blocks")
     wanted = blocks.groupBy("source").agg(F.collect_set("node").alias("nodes"))
+    if blocks.count() <= FEW_NODES:
+        wanted = F.broadcast(wanted)
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     key = lambda line: F.lower(F.regexp_replace(line, r"\P{L}+", ""))
     kept = F.filter(F.split("text", LINE_END, -1), lambda line: ~((F.length(key(line)) >= min_letters) & F.array_contains("nodes", F.xxhash64(key(line)))))
