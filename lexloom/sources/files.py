@@ -23,7 +23,7 @@ def plain_path(path: Column, encoded: bool = False) -> Column:
 def text_pages(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """``(path, page, text)``: every file is page 0; bad bytes become U+FFFD, CR LF and CR become LF."""
     raw = spark.read.text(paths, wholetext=True)
-    return raw.select(plain_path(F.col("_metadata.file_path"), encoded=True).alias("path"), F.lit(0).alias("page"), unified_newlines(F.col("value")).alias("text"))
+    return raw.select(plain_path(F.col("_metadata.file_path"), encoded=True).alias("path"), F.lit(0).alias("page"), unified_newlines(F.make_valid_utf8("value")).alias("text"))
 
 
 def pdf_pages(spark: SparkSession, paths: list[str] | str) -> DataFrame:
