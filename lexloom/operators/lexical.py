@@ -63,13 +63,14 @@ def build_index(store: DataFrame, path: str) -> Index:
     spark = store.sparkSession
     rows = _postings(store).withColumn("bucket", _bucket("term"))
     rows.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(1 << 20)) % 64).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    # The text is read once more for the lengths, as chunks without tokens have no posting.
-    local = staged(numbered(store.select("id", "ord", F.size(tokens(F.col("text"))).alias("dl")), ["ord"]), "places")
-    local.select("id", "ord", "pos").write.mode("overwrite").parquet(f"{path}/docs")
-    stats = local.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    docs = numbered(store.select("id", "ord"), ["ord"])
+    docs.write.mode("overwrite").parquet(f"{path}/docs")
+    held = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
+    n = spark.read.schema("id string, ord bigint, pos bigint").parquet(f"{path}/docs").agg(F.count("*").alias("n"))
+    stats = n.crossJoin(held.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))).select("n", F.try_divide("total", "n").alias("avgdl"))
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    stats = spark.read.parquet(f"{path}/stats")
-    counted = spark.read.schema(POSTINGS).parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
+    stats = spark.read.schema("n bigint, avgdl double").parquet(f"{path}/stats")
+    counted = held.groupBy("term").agg(F.count("*").alias("df"))
     raw = counted.crossJoin(F.broadcast(stats)).withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).select("term", "df", "raw_idf")
     raw = staged(raw, "terms")
     mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
@@ -107,7 +108,7 @@ def bm25_topk(queries: DataFrame, index: Index, k: int = POOL) -> DataFrame:
     weighed = index.terms.select("term", "idf").join(asked, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), _bucket("term").alias("bucket"))
     met = index.postings.join(weighed, ["bucket", "term"]).crossJoin(F.broadcast(index.stats.select("avgdl")))
     gain = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = met.groupBy("query_id", "ord").agg(F.round(F.sum(gain), 9).alias("score"))
+    scored = staged(met.groupBy("query_id", "ord").agg(F.round(F.sum(gain), 9).alias("score")), "scores")  # read three times below
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
     matched = scored.groupBy("query_id").agg(F.count("*").alias("m"), F.count_if(F.col("score") > 0).alias("n_positive"))
     short = live.select("query_id").distinct().join(matched, "query_id", "left").where(F.coalesce("n_positive", F.lit(0)) < k)
