@@ -82,7 +82,7 @@ def chunks(spark, d):
 def chunk_ids(spark, d):
     """Ids and metadata of the chunks of files: a source's documents are the pages of one file."""
     pages = table(spark, d, "documents").where("source is not null").select(
-        F.concat(F.lit("/corpus/"), F.regexp_replace(F.lower("source"), "[^a-z]+", "-"), F.lit(".txt")).alias("path"), F.col("doc_id").cast("int").alias("page"), "text", "category", "jurisdiction", "document_id", F.lit(" ").alias("framework")
+        F.concat(F.lit("/corpus/"), F.regexp_replace(F.lower("source"), "[^a-z]+", "-"), F.lit(".txt")).alias("path"), F.col("doc_id").alias("page"), "text", "category", "jurisdiction", "document_id", F.lit(" ").alias("framework")
     )
     return chunking.file_chunks(pages).select("id", "source", "source_path", "page", F.col("chunk_ix").cast("bigint").alias("chunk_ix"), "category", "jurisdiction", "document_id", "framework", F.length("text").cast("bigint").alias("n_chars"))
 
