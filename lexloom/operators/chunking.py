@@ -47,7 +47,7 @@ def file_chunks(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> D
     more = [(F.col("doc_no").cast("bigint") * (1 << 32) + F.col("chunk_ix")).alias("ord"), F.when(code.isNotNull(), F.array(code)).alias("jurisdictions")] if placed else []
     return parts.withColumn("chunk_ix", F.row_number().over(order) - 1).select(
         F.concat(base, F.lit("_"), F.substring(F.sha2("path", 256), 1, 12), F.lit("_p"), F.col("page"), F.lit("_c"), F.col("chunk_ix")).alias("id"),
-        F.col("chunk_text").alias("text"), base.alias("source"), F.col("path").alias("source_path"), "page", "chunk_ix",
+        F.col("chunk_text").alias("text"), base.alias("source"), F.col("path").alias("source_path"), F.col("page").cast("bigint").alias("page"), "chunk_ix",
         F.coalesce(blank_to_null(F.col("category")), F.regexp_replace(base, r"(?<=.)\.[^.]*$", "")).alias("category"),
         code.alias("jurisdiction"), blank_to_null(F.col("document_id")).alias("document_id"), blank_to_null(F.col("framework")).alias("framework"), *more,
     )

@@ -411,7 +411,7 @@ def _document_pages(docs):
 
 
 def _stored(rows):
-    return rows.select("id", "ord", F.md5("text").alias("text_md5"), "source", "source_path", F.col("page").cast("bigint").alias("page"), "category", _joined("jurisdictions").alias("jurisdictions"), "document_id")
+    return rows.select("id", "ord", F.md5("text").alias("text_md5"), "source", "source_path", "page", "category", _joined("jurisdictions").alias("jurisdictions"), "document_id")
 
 
 def stream_ingest(spark, d):
@@ -427,7 +427,7 @@ def stream_ingest(spark, d):
 def ingest_store(spark, d):
     """A source's documents as the pages of one file, taken into a chunk store; the store's rows."""
     name = F.concat(F.lit("/corpus/"), F.regexp_replace(F.lower("source"), "[^a-z]+", "-"), F.lit(".txt"))
-    pages = table(spark, d, "documents").where("source is not null").select(name.alias("path"), F.col("doc_id").cast("int").alias("page"), "text", "category", "jurisdiction", "document_id")
+    pages = table(spark, d, "documents").where("source is not null").select(name.alias("path"), F.col("doc_id").alias("page"), "text", "category", "jurisdiction", "document_id")
     about = pages.groupBy("path").agg(*(F.min(c).alias(c) for c in ("category", "jurisdiction", "document_id")), F.lit(None).cast("string").alias("framework"))
     at = ingest.Store(staging_path(spark, "store"))
     ingest.add_chunks(ingest.chunk_rows(pages, numbered(about, ["path"], "position"), 0), at)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "id string, ord bigint, text string, source string, source_path string, page int, category string, jurisdictions array<string>, document_id string, framework string"
+SCHEMA = "id string, ord bigint, text string, source string, source_path string, page bigint, category string, jurisdictions array<string>, document_id string, framework string"
 #: Vectors carry their chunk's place, so retrieval needs no join for it. Vectors of one store come from one embedder.
 VECTOR_SCHEMA = "id string, ord bigint, embedding array<float>, embedder string"
 
@@ -71,4 +71,4 @@ def from_manifest(chunks: DataFrame) -> DataFrame:
     """Store rows from ``(ord, id, text, metadata)``; the scalar jurisdiction becomes a list of one."""
     m = F.col("metadata")
     tags = F.when(m["jurisdiction"].isNotNull(), F.array(m["jurisdiction"]))
-    return one_per_id(chunks.select("id", "ord", "text", *(m[c].alias(c) for c in ("source", "source_path", "page", "category", "document_id", "framework")), tags.alias("jurisdictions")))
+    return one_per_id(chunks.select("id", "ord", "text", *(m[c].alias(c) for c in ("source", "source_path")), m["page"].cast("bigint").alias("page"), *(m[c].alias(c) for c in ("category", "document_id", "framework")), tags.alias("jurisdictions")))

@@ -1,8 +1,13 @@
 """Queries over tables whose keys are beyond 32 bits, as copies with shifted keys have them."""
 
+import glob
+import os
+
 import pytest
 
+from lexloom.plans.oracle import SQL
 from lexloom.plans.registry import QUERIES
+from lexloom.sources import store
 
 SHIFT = 60_000_000_000
 DOCUMENTS = "doc_id bigint, text string, source string, category string, jurisdiction string, document_id string"
@@ -16,6 +21,15 @@ def documents(spark, at, shift):
     return str(at)
 
 
+def same_as_sql(name, got, d):
+    con = pytest.importorskip("duckdb").connect()
+    for p in glob.glob(f"{d}/*.parquet"):
+        con.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}/*.parquet'")
+    want = con.sql(SQL[name])
+    rows = sorted(map(repr, want.fetchall()))
+    return bool(rows) and rows == sorted(repr(tuple(r)) for r in got.select(want.columns).collect())
+
+
 @pytest.fixture
 def both(spark, tmp_path):
     return [documents(spark, tmp_path / name, shift) for name, shift in (("narrow", 0), ("wide", SHIFT))]
@@ -28,3 +42,17 @@ def test_chunk_ids(spark, both):
         page = r["page"] + SHIFT * (r["page"] > 3)
         r |= {"page": page, "id": r["id"].replace(f"_p{r['page']}_", f"_p{page}_")}
     assert wide == narrow
+
+
+def test_ingest_store(spark, both):
+    for d in both:
+        assert same_as_sql("ingest_store", QUERIES["ingest_store"](spark, d), d)
+
+
+def test_a_store_with_narrow_pages_is_read(spark, tmp_path):
+    """Stores written when page numbers had 32 bits."""
+    at = str(tmp_path / "s")
+    rows = [("a", 0, "t", "s", "p", 7, "c", ["SG"], None, None), ("b", 1, "t", "s", "p", None, "c", None, None, None)]
+    spark.createDataFrame(rows, store.SCHEMA.replace("page bigint", "page int")).write.parquet(at)
+    store.write_store(spark.createDataFrame([("c", 2, "t", "s", "p", SHIFT, "c", None, None, None)], store.SCHEMA), at)
+    assert [r["page"] for r in store.read_store(spark, at).orderBy("ord").collect()] == [7, None, SHIFT]
