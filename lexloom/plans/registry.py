@@ -436,7 +436,7 @@ def ingest_store(spark, d):
 
 def ingest_batch(spark, d):
     """Status and chunks of every inventory row, its files' pages being the store's records of the same path."""
-    pages = _store(spark, d).where("source_path is not null").select(F.col("source_path").alias("path"), F.col("ord").cast("int").alias("page"), "text")
+    pages = _store(spark, d).where("source_path is not null").select(F.col("source_path").alias("path"), F.col("ord").alias("page"), "text")
     done = ingest.ingest_batch(table(spark, d, "inventory"), pages, ingest.Store(staging_path(spark, "store")), force=True)
     return done.select("pos", "document_id", "status", "chunks")
 

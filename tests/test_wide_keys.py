@@ -56,3 +56,17 @@ def test_a_store_with_narrow_pages_is_read(spark, tmp_path):
     spark.createDataFrame(rows, store.SCHEMA.replace("page bigint", "page int")).write.parquet(at)
     store.write_store(spark.createDataFrame([("c", 2, "t", "s", "p", SHIFT, "c", None, None, None)], store.SCHEMA), at)
     assert [r["page"] for r in store.read_store(spark, at).orderBy("ord").collect()] == [7, None, SHIFT]
+
+
+def test_ingest_batch(spark, tmp_path):
+    for shift in (0, SHIFT):
+        d = f"{tmp_path}/{shift}"
+        about = lambda path, page: ("s", path, page, "c", "eu", "d", None)
+        chunks = [(shift + i, f"c{i}", t, about(p, i)) for i, (t, p) in enumerate([("x" * 1000, "/a"), ("y" * 2000, "/b.pdf"), ("z", "/a"), (" ", "/c.pdf"), (None, "/d.txt"), ("u", None), ("v", "/e")])]
+        meta = "struct<source: string, source_path: string, page: int, category: string, jurisdiction: string, document_id: string, framework: string>"
+        spark.createDataFrame(chunks, f"ord bigint, id string, text string, metadata {meta}").write.parquet(f"{d}/chunks.parquet")
+        listed = [(shift + i, f"d{i}", "P1", ["EU"], None, p) for i, p in enumerate(["/a", "/b.pdf", "/c.pdf", "/d.txt", "/gone", " ", None, "/a"])]
+        spark.createDataFrame(listed, "pos bigint, document_id string, tier string, jurisdiction array<string>, framework string, ingest_path string").write.parquet(f"{d}/inventory.parquet")
+        got = QUERIES["ingest_batch"](spark, d)
+        assert same_as_sql("ingest_batch", got, d)
+        assert {r["document_id"]: (r["status"], r["chunks"]) for r in got.collect()} == {"d0": ("ok", 3), "d1": ("ok", 3), "d2": ("error", 0), "d3": ("ok", 0), "d4": ("missing_file", 0), "d7": ("ok", 3)}
