@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.session import exists
+
 SCHEMA = "id string, ord bigint, text string, source string, source_path string, page bigint, category string, jurisdictions array<string>, document_id string, framework string"
 #: Vectors carry their chunk's place, so retrieval needs no join for it. Vectors of one store come from one embedder.
 VECTOR_SCHEMA = "id string, ord bigint, embedding array<float>, embedder string"
@@ -12,9 +14,7 @@ VECTOR_SCHEMA = "id string, ord bigint, embedding array<float>, embedder string"
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Chunk rows of a store, also of the folders that streams add; an absent store is empty."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if not exists(spark, path):
         return spark.createDataFrame([], SCHEMA)
     return spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(path)
 

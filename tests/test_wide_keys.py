@@ -8,6 +8,7 @@ import pytest
 from lexloom.plans.oracle import SQL
 from lexloom.plans.registry import QUERIES
 from lexloom.sources import store
+from lexloom.streaming import ingest
 
 SHIFT = 60_000_000_000
 DOCUMENTS = "doc_id bigint, text string, source string, category string, jurisdiction string, document_id string"
@@ -70,3 +71,27 @@ def test_ingest_batch(spark, tmp_path):
         got = QUERIES["ingest_batch"](spark, d)
         assert same_as_sql("ingest_batch", got, d)
         assert {r["document_id"]: (r["status"], r["chunks"]) for r in got.collect()} == {"d0": ("ok", 3), "d1": ("ok", 3), "d2": ("error", 0), "d3": ("ok", 0), "d4": ("missing_file", 0), "d7": ("ok", 3)}
+
+
+def test_stream_ingest(spark, both):
+    assert same_as_sql("stream_ingest", QUERIES["stream_ingest"](spark, both[0]), both[0])
+    narrow, wide = (QUERIES["stream_ingest"](spark, d).orderBy("ord").collect() for d in both)
+    assert [(r["text_md5"], r["document_id"], r["jurisdictions"], r["ord"] % (1 << 32)) for r in narrow] == [(r["text_md5"], r["document_id"], r["jurisdictions"], r["ord"] % (1 << 32)) for r in wide]
+    assert len({r["ord"] for r in wide}) == len(wide) == 17 and {r["id"].split(".")[0] for r in wide} == {str(n + 1 + SHIFT * (n >= 3)) for n in range(12) if n % 5 not in (2, 3)}
+
+
+def test_stream_of_wide_numbers(spark, tmp_path):
+    """Places follow the store's, batch after batch, and a batch that is run again leaves nothing twice."""
+    schema = "doc_no bigint, text string, path string, page bigint, category string, jurisdiction string, document_id string, framework string"
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    row = lambda n, text, page=0: (n, text, f"/d/{n}.txt", page, None, "eu", None, None)
+    for k, batch in enumerate([[row(7, "x" * 1000)], [row((1 << 63) - 1, "y"), row(2, "z"), row(SHIFT, "u"), row(SHIFT, "v", SHIFT)], [row(8, "w"), row(9, None)], []]):
+        spark.createDataFrame(batch, schema).write.mode("append").parquet(src)
+        if k == 3:
+            (tmp_path / "ck" / "commits" / "2").unlink()
+            (tmp_path / "ck" / "commits" / ".2.crc").unlink(missing_ok=True)
+        ingest.start_ingest(ingest.document_stream(spark, src, schema), out, ck).awaitTermination()
+    got = store.read_store(spark, out).orderBy("ord").collect()
+    assert [(r["ord"] >> 32, r["ord"] % (1 << 32), r["text"][0], r["source"]) for r in got] == [
+        (7, 0, "x", "7.txt"), (7, 1, "x", "7.txt"), (8, 0, "z", "2.txt"), (9, 0, "u", f"{SHIFT}.txt"), (9, 1, "v", f"{SHIFT}.txt"), (10, 0, "y", f"{(1 << 63) - 1}.txt"), (11, 0, "w", "8.txt")
+    ]
